@@ -49,7 +49,7 @@ def decode(col: str) -> str:
 def attr(name: str, head: str = "head") -> str:
     val = rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
     inner = f"regexp_replace(regexp_extract({head}, {s(val)}, 1), {s('''^["']|["']$''')}, '', 'g')"
-    return f"CASE WHEN regexp_matches({head}, {s(rf'(?i)\s{name}\s*=')}) THEN {decode(inner)} END"
+    return f"CASE WHEN regexp_extract({head}, {s(val)}, 1) <> '' THEN {decode(inner)} END"
 
 
 def hasattr_(name: str, head: str = "head") -> str:

@@ -20,9 +20,9 @@ def _(spark, d):
 
 @register("b02_attributes", LP.sql([], f"SELECT page_id, seq, tag, {attr('class')} AS class, {attr('id')} AS id, {attr('content')} AS content, {attr('name')} AS name, {hasattr_('required')} AS required FROM nd WHERE kind = 'open' AND tag IN ('meta','input','div','a')"))
 def _(spark, d):
-    n = snapshot(spark, d).tokens.filter("kind = 'open' AND tag IN ('meta', 'input', 'div', 'a')")
-    a = lambda x: M.attr("tok", x).alias(x)
-    return n.select("page_id", "seq", "tag", a("class"), a("id"), a("content"), a("name"), M.has_attr("tok", "required").alias("required"))
+    n = snapshot(spark, d).nodes.filter("kind = 'open' AND tag IN ('meta', 'input', 'div', 'a')")
+    a = lambda x: M.attr("head", x).alias(x)
+    return n.select("page_id", "seq", "tag", a("class"), a("id"), a("content"), a("name"), M.has_attr("head", "required").alias("required"))
 
 
 @register("b12_headings_web", WEB.sql(["hd_all", "hd"], "SELECT page_id, seq, level, text, visible, position FROM hd"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from gate.corpus import ROW_PX, VIEWPORT, landing_pages, web_pages
+from pagelode.operators.detect import Detectors
 from pagelode.operators.elements import Document
 from pagelode.session import tune
 
@@ -32,13 +33,36 @@ def layout():
     return {"x": F.lit(0), "y": F.col("seq") * ROW_PX}
 
 
+_KEPT: dict[tuple, Document] = {}
+
+
+def _kept(kind: str, spark, sf_dir, make) -> Document:
+    """Queries over one table share its persisted tokens, as one job would."""
+    key = (kind, spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        _KEPT[key] = make().keep()
+    return _KEPT[key]
+
+
 def snapshot(spark, sf_dir) -> Document:
-    return Document(landing_pages(spark, sf_dir), layout=layout(), viewport=VIEWPORT)
+    """Derived landing pages with the stand-in renderer's geometry."""
+    return _kept("snapshot", spark, sf_dir, lambda: Document(landing_pages(spark, sf_dir), layout(), VIEWPORT))
 
 
 def markup(spark, sf_dir) -> Document:
-    return Document(landing_pages(spark, sf_dir))
+    """The same pages without geometry; the tokens do not depend on it."""
+    doc = Document(landing_pages(spark, sf_dir))
+    doc.__dict__.update({k: v for k, v in snapshot(spark, sf_dir).__dict__.items() if k in ("nodes", "texts", "base", "tokens")})
+    return doc.keep()
 
 
 def web(spark, sf_dir) -> Document:
-    return Document(web_pages(spark, sf_dir))
+    return _kept("web", spark, sf_dir, lambda: Document(web_pages(spark, sf_dir)))
+
+
+_DET: dict[int, Detectors] = {}
+
+
+def detectors(spark, sf_dir) -> Detectors:
+    doc = snapshot(spark, sf_dir)
+    return _DET.setdefault(id(doc), Detectors(doc))

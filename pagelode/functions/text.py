@@ -16,9 +16,15 @@ ENTITIES = [
 ]
 
 
-def decode_entities(s: Column | str) -> Column:
+# Quotes decoded inside a tag would end its attributes early; they travel as these two
+# private-use characters until the attribute value has been cut out.
+QUOTE_MARKS = "\ue000\ue001"
+
+
+def decode_entities(s: Column | str, in_tag: bool = False) -> Column:
     """Character references to characters, `&amp;` last; `&nbsp;` becomes a plain space."""
     s = c(s)
+    double, single = QUOTE_MARKS if in_tag else "\"'"
 
     def numeric(piece: Column) -> Column:
         hexa = piece.rlike("^&#[xX]")
@@ -26,17 +32,19 @@ def decode_entities(s: Column | str) -> Column:
             F.regexp_extract(piece, "^&#([0-9]+);", 1)
         )
         code = F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
-        code = F.when(code == 160, F.lit(32)).otherwise(code)
+        code = F.when(code == 160, F.lit(32)).when(code == 34, ord(double)).when(code == 39, ord(single)).otherwise(code)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        # A decoded ampersand must not start another reference.
+        char = F.when(code == 38, F.lit("&amp;")).otherwise(char)
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return F.when(piece.rlike("^&#([0-9]+|[xX][0-9a-fA-F]+);$") & valid, char).otherwise(piece)
 
     pieces = F.regexp_extract_all(s, F.lit("&#[xX]?[0-9a-fA-F]+;|[^&]+|&"), F.lit(0))
     out = F.when(s.contains("&#"), F.array_join(F.transform(pieces, numeric), "")).otherwise(s)
     for name, char in ENTITIES:
+        char = {"&quot;": double, "&apos;": single}.get(name, char)
         out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(s.contains("&"), out).otherwise(s)
+    return F.when(s.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(s)
 
 
 def strip(s: Column | str) -> Column:

@@ -19,6 +19,7 @@ from pagelode.functions.base import WS, blank_to_null, ext, has, txt
 from pagelode.functions.labels import field_purpose
 from pagelode.functions.text import collapse, strip
 from pagelode.operators import markup as M
+from pagelode.operators.staging import table
 
 # How many rows of each collection a page may keep.
 CAPS = {
@@ -62,15 +63,20 @@ class Document:
         self.layout = layout or {}
         self.viewport = viewport or {"width": None, "height": None}
 
+    def keep(self) -> "Document":
+        """Stage tables as they are first read: most have several consumers."""
+        self.kept = True
+        return self
+
     @cached_property
     def tokens(self) -> DataFrame:
         return M.tokens(self.pages)
 
-    @cached_property
+    @table
     def nodes(self) -> DataFrame:
         return M.nodes(self.tokens)
 
-    @cached_property
+    @table
     def texts(self) -> DataFrame:
         return M.page_texts(self.nodes)
 
@@ -101,7 +107,7 @@ class Document:
 
     # ---------------------------------------------------------------- copy
 
-    @cached_property
+    @table
     def all_headings(self) -> DataFrame:
         h = self._text(self._pick(F.col("tag").isin(M.HEADINGS)))
         return self._placed(h).select(
@@ -112,7 +118,7 @@ class Document:
     def headings(self) -> DataFrame:
         return self.all_headings.filter("text <> ''")
 
-    @cached_property
+    @table
     def all_blocks(self) -> DataFrame:
         """p, li, blockquote and subtitle-like elements, the first 1000 per page."""
         cls = F.coalesce(M.attr("head", "class"), F.lit(""))
@@ -140,7 +146,7 @@ class Document:
             | (role == "button")
         )
 
-    @cached_property
+    @table
     def buttons(self) -> DataFrame:
         kept = self._text(M.cap(self.button_like, CAPS["buttons"]))
         label = F.coalesce(blank_to_null(F.col("text")), M.attr("head", "aria-label"))
@@ -156,7 +162,7 @@ class Document:
     def anchors(self) -> DataFrame:
         return self._pick((F.col("tag") == "a") & M.has_attr("head", "href"))
 
-    @cached_property
+    @table
     def links(self) -> DataFrame:
         kept = self._text(M.cap(self.anchors, CAPS["links"]))
         rows = self._placed(kept).select(
@@ -184,7 +190,7 @@ class Document:
         direct = (F.col("tag") == "div") & (F.col("m.end_seq") > F.col("seq")) & (F.col("d") == F.col("m.d") + 1)
         return boxes.filter((F.col("kind") == "open") & (is_box | direct)).drop("d", "m", "prev")
 
-    @cached_property
+    @table
     def sections(self) -> DataFrame:
         """Page sections with the text of their first h1-h3."""
         kept = self._placed(M.cap(self.section_like, CAPS["sections"])).select(
@@ -206,7 +212,7 @@ class Document:
 
     # ---------------------------------------------------------------- metadata
 
-    @cached_property
+    @table
     def metas(self) -> DataFrame:
         rows = M.cap(self._pick(F.col("tag") == "meta"), CAPS["meta_all"])
         return rows.select(
@@ -224,12 +230,12 @@ class Document:
     def link_rel_elements(self) -> DataFrame:
         return self._pick((F.col("tag") == "link") & M.has_attr("head", "rel"))
 
-    @cached_property
+    @table
     def link_rels(self) -> DataFrame:
         rows = M.cap(self.link_rel_elements, CAPS["links_rel"])
         return rows.select("page_id", "seq", *[M.attr("head", a).alias(a) for a in ("rel", "href", "type")])
 
-    @cached_property
+    @table
     def meta_whitelist(self) -> DataFrame:
         """One row per page with the metadata the audit reads; the first element of a name decides."""
         first = lambda cond, value: blank_to_null(F.min_by(F.coalesce(value, F.lit("")), F.when(cond, F.col("seq"))))
@@ -251,7 +257,7 @@ class Document:
             canon, "page_id", "left"
         ).withColumn("has_viewport_meta", F.coalesce("has_viewport_meta", F.lit(False)))
 
-    @cached_property
+    @table
     def json_ld(self) -> DataFrame:
         """Structured-data blocks; a block that does not parse keeps its first 500 characters."""
         rows = self._pick((F.col("tag") == "script") & (txt(M.attr("head", "type")) == "application/ld+json"))
@@ -279,7 +285,7 @@ class Document:
         rows = self._text(self._pick(F.col("tag") == "label"))
         return rows.select("page_id", "seq", M.attr("head", "for").alias("for_id"), "text")
 
-    @cached_property
+    @table
     def form_fields(self) -> DataFrame:
         """Visible-purpose fields of declared forms, plus the orphan form of a page without one."""
         typ = F.lower(txt(M.attr("head", "type")))
@@ -382,7 +388,7 @@ class Document:
             F.coalesce(M.attr("head", "value"), F.col("text")).alias("value"),
         )
 
-    @cached_property
+    @table
     def all_options(self) -> DataFrame:
         """Every choice a field offers: select options, and radio/checkbox values by name."""
         sel = self.option_elements.filter("text <> ''").select(
@@ -403,7 +409,7 @@ class Document:
         in_form = self.field_elements.filter("form_seq IS NOT NULL").select("page_id", F.col("seq").alias("field_seq"))
         return sel.join(in_form, ["page_id", "field_seq"], "left_semi").unionByName(grouped)
 
-    @cached_property
+    @table
     def field_options(self) -> DataFrame:
         """Choices kept: 50 of a select, a radio or checkbox group whole."""
         w = W.partitionBy("page_id", "field_seq").orderBy("o_seq")
@@ -411,7 +417,7 @@ class Document:
             (F.col("source") == "group") | (F.col("i") <= CAPS["options"])
         )
 
-    @cached_property
+    @table
     def forms(self) -> DataFrame:
         f = self._placed(self.form_elements).join(self._near_heading(), ["page_id", "seq"], "left").join(
             self._submits().filter("form_seq IS NOT NULL").select("page_id", F.col("form_seq").alias("seq"), "submit_text"),
@@ -471,7 +477,7 @@ class Document:
         )
         return f.join(found, ["page_id", "b_seq"], "left").select("page_id", "seq", "heading_near")
 
-    @cached_property
+    @table
     def form_embeds(self) -> DataFrame:
         src = F.coalesce(*[blank_to_null(M.attr("head", a)) for a in ("src", "data-src", "data")])
         return self._pick(F.col("tag").isin("iframe", "embed", "object") & F.col("form_seq").isNotNull()).select(
@@ -482,7 +488,7 @@ class Document:
     def hidden_input_elements(self) -> DataFrame:
         return self._pick((F.col("tag") == "input") & (F.lower(txt(M.attr("head", "type"))) == "hidden"))
 
-    @cached_property
+    @table
     def hidden_inputs(self) -> DataFrame:
         """Hidden inputs by name and owner; only whether a value exists is kept, never the value."""
         rows = M.cap(self.hidden_input_elements, CAPS["hidden_inputs"])
@@ -495,7 +501,7 @@ class Document:
 
     # ---------------------------------------------------------------- media
 
-    @cached_property
+    @table
     def videos(self) -> DataFrame:
         """Players in four passes; a play control alone counts only when nothing else did."""
         html5 = self._videos_html5()
@@ -592,7 +598,7 @@ class Document:
     def image_elements(self) -> DataFrame:
         return self._pick(F.col("tag") == "img")
 
-    @cached_property
+    @table
     def images_all(self) -> DataFrame:
         rows = self._placed(M.cap(self.image_elements, CAPS["images_all"]))
         w = F.coalesce("width", ext(M.attr("head", "width"), r"^\d{1,6}").cast("int"))
@@ -613,7 +619,7 @@ class Document:
         """Judged images: the first 200 of the page, then the size threshold."""
         return M.cap(self.images_all, CAPS["images"]).filter("meets_size_threshold")
 
-    @cached_property
+    @table
     def iframes(self) -> DataFrame:
         rows = self._placed(self._pick(F.col("tag") == "iframe")).join(self.base, "page_id")
         src = F.coalesce(blank_to_null(M.attr("head", "src")), M.attr("head", "data-src"))
@@ -628,7 +634,7 @@ class Document:
     def embed_elements(self) -> DataFrame:
         return self._pick(F.col("tag").isin("iframe", "embed", "object"))
 
-    @cached_property
+    @table
     def embeds(self) -> DataFrame:
         rows = self._placed(M.cap(self.embed_elements, CAPS["embeds"])).join(self.base, "page_id")
         src = F.coalesce(*[blank_to_null(M.attr("head", a)) for a in ("src", "data-src", "data")])
@@ -648,7 +654,7 @@ class Document:
         cls, ident = txt(M.attr("head", "class")), txt(M.attr("head", "id"))
         return self._pick(cls.rlike("countdown|timer|clock") | ident.rlike("countdown|timer"))
 
-    @cached_property
+    @table
     def timers(self) -> DataFrame:
         rows = self._placed(self._text(M.cap(self.timer_elements, CAPS["timers"])))
         return rows.select(
@@ -660,7 +666,7 @@ class Document:
         cls = txt(M.attr("head", "class"))
         return self._pick((F.col("tag") == "dialog") | (txt(M.attr("head", "role")) == "dialog") | cls.rlike("modal|popup"))
 
-    @cached_property
+    @table
     def dialogs(self) -> DataFrame:
         rows = self._placed(self._text(M.cap(self.dialog_elements, CAPS["dialogs"])))
         return rows.select("page_id", "seq", F.substring("text", 1, 500).alias("text"), "visible", M.attr("head", "role").alias("role"))
@@ -669,7 +675,7 @@ class Document:
     def script_elements(self) -> DataFrame:
         return self._pick(F.col("tag") == "script")
 
-    @cached_property
+    @table
     def scripts(self) -> DataFrame:
         rows = M.cap(self.script_elements, CAPS["scripts"]).join(self.base, "page_id")
         src = M.attr("head", "src")
@@ -682,7 +688,7 @@ class Document:
             (F.length("flat") <= CAPS["inline_snippet"]).alias("snippet_whole"),
         )
 
-    @cached_property
+    @table
     def vendor_globals(self) -> DataFrame:
         """Vendor globals named by inline scripts (assignment or call), never by element ids."""
         s = self.scripts.filter("inline_snippet IS NOT NULL")
@@ -691,7 +697,7 @@ class Document:
             F.col("name").isin(hosts.VENDOR_GLOBALS)
         ).distinct().withColumn("source", F.lit("markup"))
 
-    @cached_property
+    @table
     def page_text(self) -> DataFrame:
         """Visible text, cut at 100000 characters, with its whole length."""
         cap_at = CAPS["visible_text"]
@@ -699,7 +705,7 @@ class Document:
             "page_id", F.substring("visible_text", 1, cap_at).alias("visible_text"), F.length("visible_text").alias("characters"),
         )
 
-    @cached_property
+    @table
     def page(self) -> DataFrame:
         """One row per page: url, title, language, text, metadata, viewport."""
         lang = self._pick(F.col("tag") == "html").groupBy("page_id").agg(F.min_by(M.attr("head", "lang"), "seq").alias("lang"))

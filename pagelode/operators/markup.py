@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelode.functions.base import WS, c
-from pagelode.functions.text import collapse, decode_entities
+from pagelode.functions.text import QUOTE_MARKS, collapse, decode_entities
 
 # One token: comment, raw-text element with its body, tag, text run, or a stray '<'.
 TOKEN_RE = (
@@ -41,11 +41,10 @@ def _so_far():
     return W.partitionBy("page_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
 
 
-def attr(tag_text: Column | str, name: str) -> Column:
+def attr(head: Column | str, name: str) -> Column:
     """Attribute value: double-quoted, single-quoted or bare; NULL when absent."""
-    t = c(tag_text)
-    raw = F.regexp_extract(t, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
-    return F.when(t.rlike(rf"(?i)\s{name}\s*="), decode_entities(F.regexp_replace(raw, "^[\"']|[\"']$", "")))
+    raw = F.regexp_extract(c(head), rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    return F.translate(F.regexp_replace(F.nullif(raw, F.lit("")), "^[\"']|[\"']$", ""), QUOTE_MARKS, "\"'")
 
 
 def has_attr(tag_text: Column | str, name: str) -> Column:
@@ -88,8 +87,8 @@ def nodes(toks: DataFrame) -> DataFrame:
     substring; `end_seq` is the token that closes it (implied ends for p and option).
     Regions use a running maximum of extents, which tolerates overlap and stray closes.
     """
-    head = F.when(F.col("kind") == "raw", F.regexp_extract("tok", r"(?s)^<[^>]*>", 0)).when(
-        F.col("kind") == "open", F.col("tok")
+    head = F.when(F.col("kind") == "raw", decode_entities(F.regexp_extract("tok", r"(?s)^<[^>]*>", 0), in_tag=True)).when(
+        F.col("kind") == "open", decode_entities("tok", in_tag=True)
     )
     txt = F.when(F.col("kind") == "text", decode_entities("tok")).otherwise(F.lit(""))
     opens = (F.col("kind") == "open") & ~F.col("tag").isin(VOID) & ~F.col("tok").endswith("/>")

@@ -52,7 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        # Relative to the cluster's default file system, never to one machine.
+        return "pagelode-staging"
     path = tempfile.mkdtemp(prefix="pagelode-")
     spark.sparkContext.setCheckpointDir(path)
     return path
