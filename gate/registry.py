@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gate.corpus import ROW_PX, VIEWPORT, landing_pages, web_pages
 from pagelode.operators.detect import Detectors
 from pagelode.operators.elements import Document
+from pagelode.plans.sections import Sections
 from pagelode.session import tune
 
 QUERIES: dict[str, Callable] = {}
@@ -66,3 +67,17 @@ _DET: dict[int, Detectors] = {}
 def detectors(spark, sf_dir) -> Detectors:
     doc = snapshot(spark, sf_dir)
     return _DET.setdefault(id(doc), Detectors(doc))
+
+
+_SEC: dict[int, Sections] = {}
+
+
+def sections(spark, sf_dir) -> Sections:
+    det = detectors(spark, sf_dir)
+    return _SEC.setdefault(id(det), Sections(det))
+
+
+def web_sections(spark, sf_dir) -> Sections:
+    doc = web(spark, sf_dir)
+    det = _DET.setdefault(id(doc), Detectors(doc))
+    return _SEC.setdefault(id(det), Sections(det))
