@@ -118,15 +118,19 @@ class Document:
     def headings(self) -> DataFrame:
         return self.all_headings.filter("text <> ''")
 
-    @table
-    def all_blocks(self) -> DataFrame:
-        """p, li, blockquote and subtitle-like elements, the first 1000 per page."""
+    @cached_property
+    def block_elements(self) -> DataFrame:
+        """p, li, blockquote and subtitle-like elements."""
         cls = F.coalesce(M.attr("head", "class"), F.lit(""))
         cond = F.col("tag").isin("p", "blockquote") | (
             (F.col("tag") != "li") & (cls.contains("subtitle") | cls.contains("subhead"))
         )
-        both = self._pick(cond & F.col("tag").isNotNull()).unionByName(M.list_items(self.nodes))
-        kept = M.cap(both, CAPS["paragraphs"])
+        return self._pick(cond & F.col("tag").isNotNull()).unionByName(M.list_items(self.nodes))
+
+    @table
+    def all_blocks(self) -> DataFrame:
+        """The first 1000 block elements of a page."""
+        kept = M.cap(self.block_elements, CAPS["paragraphs"])
         return self._placed(self._text(kept)).select(
             "page_id", "seq", "tag", "text", "visible", "position", "y"
         )
