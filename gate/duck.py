@@ -67,7 +67,7 @@ def norm_msg(col: str) -> str:
 
 
 def word_count(col: str) -> str:
-    return f"len(list_filter(regexp_split_to_array(coalesce({col}, ''), {s(WSC + '+')}), w -> w <> ''))"
+    return f"len(list_filter(regexp_split_to_array(coalesce({col}, ''), {s(WSC + '+')}), lambda w: w <> ''))"
 
 
 def chain(cases, default="NULL") -> str:

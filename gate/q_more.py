@@ -20,7 +20,9 @@ from pagelode.operators import structured as S
 from pagelode.plans import classify as K
 from pagelode.plans import corpus as CO
 from pagelode.plans import linkchecks as LC
+from pagelode.plans import roles as RO
 from pagelode.plans import rules as R
+from pagelode.plans.compose import compose
 
 
 def docs(spark, d):
@@ -202,9 +204,9 @@ def _(spark, d):
     return t.select("conv_id", "turn", T.collapse("text").alias("collapsed"), T.norm_label("text").alias("label"), T.norm_msg("text").alias("message"), T.clip(T.collapse("text")).alias("clipped"), T.clip(T.collapse("text"), 160, "dots").alias("dots"))
 
 
-_WORDS = f"list_filter(regexp_split_to_array(text, {s(D.WSC + '+')}), w -> w <> '')"
-_SENTS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, {s('[.!?]+(' + D.WSC + r'|\z)')}, chr(1) || '\\1', 'g'), chr(1)), p -> len(list_filter(regexp_split_to_array(p, {s(D.WSC + '+')}), w -> w <> ''))), n -> n > 0)"
-_CHARS = f"list_filter(list_transform({_WORDS}, w -> length(regexp_replace(w, {s(r'[^\p{L}\p{N}\x27-]')}, '', 'g'))), n -> n > 0)"
+_WORDS = f"list_filter(regexp_split_to_array(text, {s(D.WSC + '+')}), lambda w: w <> '')"
+_SENTS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, {s('[.!?]+(' + D.WSC + r'|\z)')}, chr(1) || '\\1', 'g'), chr(1)), lambda p: len(list_filter(regexp_split_to_array(p, {s(D.WSC + '+')}), lambda w: w <> ''))), lambda n: n > 0)"
+_CHARS = f"list_filter(list_transform({_WORDS}, lambda w: length(regexp_replace(w, {s(r'[^\p{L}\p{N}\x27-]')}, '', 'g'))), lambda n: n > 0)"
 
 
 @register("c16_c17_copy_metrics", f"SELECT doc_id, len(w) AS word_count, length(text) AS character_count, CASE WHEN len(w) >= 20 THEN floor(list_sum(sn) * 10 / len(sn) + 0.5) / 10 END AS average_sentence_words, CASE WHEN len(w) >= 20 THEN floor(list_sum(ch) * 10 / len(ch) + 0.5) / 10 END AS average_word_characters, length(text) - length(replace(text, '!', '')) AS exclamation_marks, length(text) - length(replace(text, '?', '')) AS question_marks FROM (SELECT doc_id, text, {_WORDS} w, {_SENTS} sn, {_CHARS} ch FROM documents)")
@@ -221,7 +223,7 @@ def _(spark, d):
 _SPLIT = "regexp_replace({}, '([.!?])\\s+([^a-z])', '\\1' || chr(1) || '\\2', 'g')"
 
 
-@register("c19_sentences", f"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array({_SPLIT.format(_SPLIT.format(collapse('text')))}, {s('\x01|\\s*[|•]\\s*')}), x -> trim(x, ' ')), x -> x <> '')) AS sentences FROM documents")
+@register("c19_sentences", f"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array({_SPLIT.format(_SPLIT.format(collapse('text')))}, {s('\x01|\\s*[|•]\\s*')}), lambda x: trim(x, ' ')), lambda x: x <> '')) AS sentences FROM documents")
 def _(spark, d):
     return docs(spark, d).select("doc_id", F.size(T.sentences("text")).alias("sentences"))
 
@@ -263,7 +265,7 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", U.canonical_key("url").alias("key"))
 
 
-@register("a11_funnel_ids", f"SELECT page_id, replace(regexp_replace({D.host('url')}, '^www\\.', ''), '.', '-') || '_' || array_to_string(list_filter(list_transform(list_filter(string_split({D.upath('url')}, '/'), x -> x <> '')[:2], x -> substr(regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40)), x -> x <> ''), '_') AS funnel_id FROM pages")
+@register("a11_funnel_ids", f"SELECT page_id, replace(regexp_replace({D.host('url')}, '^www\\.', ''), '.', '-') || '_' || array_to_string(list_filter(list_transform(list_filter(string_split({D.upath('url')}, '/'), lambda x: x <> '')[:2], lambda x: substr(regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40)), lambda x: x <> ''), '_') AS funnel_id FROM pages")
 def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", U.funnel_id("url").alias("funnel_id"))
 
@@ -429,10 +431,10 @@ def _(spark, d):
     return detectors(spark, d).faqs.select("page_id", "heading", "question", "answer", "source")
 
 
-@register("e09_benefits", LP.sql(["hd_all", "hd", "bl"], f"""SELECT page_id, h_seq, seq, t AS text FROM (SELECT *, max(CASE WHEN listy THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, h_seq) some FROM (
+@register("e09_benefits", LP.sql(["hd_all", "hd", "bl"], f"""SELECT page_id, h_seq, seq, t AS text FROM (SELECT *, max(CASE WHEN listy THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, h_seq) sm FROM (
  SELECT h.page_id, h.seq h_seq, b.seq, b."text" t, length(b."text") < 240 OR regexp_matches(b."text", '^[-•*]') OR regexp_matches(b."text", '^[0-9]+[).]') listy FROM
  (SELECT x.page_id, x.seq, x.y, coalesce((SELECT arg_min(o.y, o.seq) FROM hd o WHERE o.page_id = x.page_id AND o.y > x.y AND o.level <= x.level), x.y + 800) b FROM hd x WHERE {has('x."text"', C.BENEFIT_HEADINGS)}) h JOIN bl b ON b.page_id = h.page_id AND b.y >= h.y AND b.y < h.b AND length(b."text") > 12))
- WHERE listy OR some = 0 QUALIFY row_number() OVER (PARTITION BY page_id, h_seq ORDER BY seq) <= 12"""))
+ WHERE listy OR sm = 0 QUALIFY row_number() OVER (PARTITION BY page_id, h_seq ORDER BY seq) <= 12"""))
 def _(spark, d):
     return detectors(spark, d).benefits.filter("kind = 'benefit_or_takeaway'").select("page_id", "h_seq", "seq", "text")
 
@@ -782,6 +784,68 @@ def _(spark, d):
     return CO.coverage(V.completeness(snapshot(spark, d)))
 
 
+# =============================================================== funnel runs
+
+
+def run_roles(det):
+    """Every page is one step of a run of four: landing, form, intermediate, confirmation."""
+    k = F.col("page_id") % 4
+    role = F.when(k == 0, "landing").when(k == 1, "form").when(k == 2, "intermediate").otherwise("confirmation")
+    return det.doc.base.select("page_id", F.floor(F.col("page_id") / 4).alias("run_id"), k.cast("int").alias("sequence"), role.alias("role"))
+
+
+@register("j31_j37_role_issues")
+def _(spark, d):
+    sec = sections(spark, d)
+    return RO.role_issues(RO.role_row(sec, run_roles(sec.det))).drop("rank")
+
+
+@register("j38_recommendations")
+def _(spark, d):
+    sec = sections(spark, d)
+    return RO.recommendations(RO.role_issues(RO.role_row(sec, run_roles(sec.det))))
+
+
+@register("e28_scheduling_presence")
+def _(spark, d):
+    return RO.scheduling_presence(sections(spark, d))
+
+
+@register("e31_confirmation_details")
+def _(spark, d):
+    t = RO.confirmation_details(sections(spark, d))
+    return t.withColumn("next_steps", F.array_join("next_steps", "|")).withColumn("upsells", F.array_join("upsells", "|")).withColumn("calendar_links", F.array_join("calendar_links", "|"))
+
+
+@register("i29_business_names")
+def _(spark, d):
+    return RO.business_names(sections(spark, d))
+
+
+@register("g23_form_inventory")
+def _(spark, d):
+    sec = sections(spark, d)
+    return RO.form_inventory(sec, run_roles(sec.det))
+
+
+@register("i28_g24_run_dataset")
+def _(spark, d):
+    sec = sections(spark, d)
+    t = RO.run_dataset(sec, run_roles(sec.det), RO.role_issues(RO.role_row(sec, run_roles(sec.det))))
+    return t.select("run_id", "landing_captured", "confirmation_captured", *[F.size(c).alias(c) for c in ("pages", "forms", "issues", "price_points", "proof_points", "audience_signals", "limitations")])
+
+
+@register("g26_page_navigation", LP.sql(["ln"], "SELECT page_id, count(*) AS total_links, count(*) FILTER (WHERE in_nav AND visible) AS nav_links, count(*) FILTER (WHERE contains(href, '#')) AS anchor_links FROM ln GROUP BY page_id"))
+def _(spark, d):
+    return RO.page_navigation(sections(spark, d)).select("page_id", "total_links", "nav_links", "anchor_links")
+
+
+@register("i26_compose")
+def _(spark, d):
+    t = compose(sections(spark, d))
+    return t.select("page_id", *[F.md5(F.to_json(c)).alias(c) for c in t.columns if c != "page_id"])
+
+
 # =============================================================== event logs
 
 _LOG = "SELECT event_id, user_id AS page_id, ts, CASE event_type WHEN 'error' THEN 'requestfailed' WHEN 'view' THEN 'response' ELSE 'request' END AS kind, 'https://cdn' || CAST(event_id % 7 AS {t}) || '.example.com/a.js' AS url, CASE WHEN event_type = 'view' THEN 200 + 100 * CAST(event_id % 4 AS INT) END AS status FROM "
