@@ -59,7 +59,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def local_session(cpus: int | None = None) -> SparkSession:
+def local_session(cpus: int | None = None, java_options: str = "") -> SparkSession:
     cpus = cpus or os.cpu_count() or 4
     spark = build_session(
         master=f"local[{cpus}]",
@@ -68,7 +68,7 @@ def local_session(cpus: int | None = None) -> SparkSession:
             "spark.driver.memory": "12g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            "spark.driver.extraJavaOptions": "-Xss8m",
+            "spark.driver.extraJavaOptions": f"-Xss8m {java_options}".strip(),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

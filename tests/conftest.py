@@ -10,7 +10,7 @@ from pagelode.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4)
+    return local_session(4, "-XX:TieredStopAtLevel=1")
 
 
 @pytest.fixture(scope="session")
