@@ -86,8 +86,11 @@ def words(s: Column | str) -> Column:
     return F.filter(F.split(txt(c(s)), f"{WS}+"), lambda w: w != "")
 
 
+_WORD = "[^" + WS[1:-1] + "]+"
+
+
 def word_count(s: Column | str) -> Column:
-    return F.size(words(s))
+    return F.regexp_count(txt(c(s)), F.lit(_WORD))
 
 
 def count_char(s: Column | str, char: str) -> Column:
@@ -101,26 +104,24 @@ def is_all_caps(s: Column | str) -> Column:
 
 
 def copy_metrics(s: Column | str) -> Column:
-    """Word count, average sentence and word length (NULL under 20 words, one decimal)."""
-    text = txt(c(s))
-    w = words(text)
-    n = F.size(w)
-    parts = F.split(text, rf"[.!?]+(?={WS}|\z)")
-    counts = F.filter(F.transform(parts, word_count), lambda k: k > 0)
-    letters = F.filter(
-        F.transform(w, lambda x: F.length(F.regexp_replace(x, r"[^\p{L}\p{N}'-]", ""))), lambda k: k > 0
-    )
-
-    def mean1(arr: Column) -> Column:
-        total = F.aggregate(arr, F.lit(0), lambda a, x: a + x)
-        # Half up at one decimal, on the exact ratio.
-        return F.when(F.size(arr) > 0, F.floor(total * 10 / F.size(arr) + 0.5) / 10)
+    """Word count, average sentence and word length (NULL under 20 words, one decimal).
 
+    Averages are ratios of counts over the whole text, so no array of words is built.
+    """
+    text = txt(c(s))
+    n = word_count(text)
+    stop = rf"[.!?]+(?={WS}|\z)"
+    spoken = word_count(F.regexp_replace(text, stop, " "))
+    said = F.size(F.filter(F.split(text, stop), lambda p: p.rlike(_WORD)))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}'-]+", ""))
+    named = word_count(F.regexp_replace(text, r"[^\p{L}\p{N}'\-" + WS[1:-1] + "]+", ""))
+    # Half up at one decimal, on the exact ratio.
+    mean1 = lambda total, k: F.when((n >= 20) & (k > 0), F.floor(total * 10 / k + 0.5) / 10)
     return F.struct(
         n.alias("word_count"),
         F.length(text).alias("character_count"),
-        F.when(n >= 20, mean1(counts)).alias("average_sentence_words"),
-        F.when(n >= 20, mean1(letters)).alias("average_word_characters"),
+        mean1(spoken, said).alias("average_sentence_words"),
+        mean1(letters, named).alias("average_word_characters"),
         count_char(text, "!").alias("exclamation_marks"),
         count_char(text, "?").alias("question_marks"),
     )
