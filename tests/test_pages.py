@@ -51,7 +51,8 @@ def plain(pages):
 
 
 def by(df, page, *cols):
-    return [tuple(r) for r in df.filter(F.col("page_id") == page).orderBy(*[c for c in ("seq", "index", "i") if c in df.columns][:1]).select(*cols).collect()]
+    order = [c for c in ("seq", "index", "i") if c in df.columns][:1] or list(cols)
+    return [tuple(r) for r in df.filter(F.col("page_id") == page).orderBy(*order).select(*cols).collect()]
 
 
 def test_tokens_are_lossless(pages, plain):
