@@ -107,7 +107,8 @@ def test_sales_page(rendered):
     assert t == ("Maria Lopez", "Owner", "Bright Dental", "quoted_text")
     assert by(det.tracking, 1, "vendor") == [("Meta Pixel",)] and by(det.vendor_ids, 1, "id") == [("1234567890",)]
     ctas = by(rendered.ctas, 1, "text", "kind", "is_primary", "form_index")
-    assert ("Book your free call", "anchor", True, None) in ctas and ("Get the plan", "form_submit", False, 0) in ctas
+    # A button without a type attribute has no destination of its own; pairing ties it to its form.
+    assert ("Book your free call", "anchor", True, None) in ctas and ("Get the plan", "none", False, 0) in ctas
     assert sum(1 for c in ctas if c[2]) == 1
     assert [r[0] for r in by(rendered.forms, 1, "integration")] == ["native_html", "external_link"]
 
