@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, packing
+from pagelode.llm import bpe, lines, packing, simhash
 from pagelode.llm.shared import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,8 +27,46 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 2, 1024), 1024, Scratch(spark)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose SimHash fingerprints differ in at most two bits."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lines of all pages without those on more than a tenth of their host's pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"), lines.page_lines(F.col("html")).alias("text"))
+    return lines.dedup(pages, Scratch(spark), host="host")
+
+
+ORACLE["op10_line_dedup"] = r"""
+WITH stripped AS (
+  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/:?#]+)', 2)), '') AS host,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+      '<(script|style)[^>]*>.*?</(script|style)\s*>', '', 'gsi'), '<!--.*?-->', '', 'gs'),
+      '</?(p|div|li|ul|ol|h[1-6]|article|section|nav|header|footer|aside|main|table|tr|td|th|br|hr|title|head|body|html|blockquote|pre|form|dl|dt|dd|figure|option|button)(\s[^>]*)?>', chr(10), 'gi'),
+      '<[^>]*>', '', 'g') AS t
+  FROM pages
+), page AS (
+  SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM stripped
+), per AS (
+  SELECT DISTINCT page_id, host, unnest(ls) AS line FROM page WHERE host IS NOT NULL
+), total AS (SELECT host, count(*) AS total FROM page WHERE host IS NOT NULL GROUP BY host
+), bad AS (
+  SELECT host, line FROM (SELECT host, line, count(*) AS n FROM per GROUP BY host, line) JOIN total USING (host) WHERE n >= 3 AND n > total * 0.1
+), drops AS (SELECT host, list(line) AS drop_lines FROM bad GROUP BY host
+), kept AS (
+  SELECT page_id, page.host, ls, CASE WHEN drop_lines IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(drop_lines, x)) END AS k
+  FROM page LEFT JOIN drops ON page.host = drops.host
+)
+SELECT page_id, host, array_to_string(k, chr(10)) AS text, greatest(len(ls), 1)::INTEGER AS n_lines, (len(ls) - len(k))::INTEGER AS n_dropped FROM kept
+"""
