@@ -70,7 +70,7 @@ def page_lines(html: Column) -> Column:
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
     x = F.regexp_replace(x, rf"(?i)</?({BLOCK_TAGS})(\s[^>]*)?>", "\n")
     x = F.regexp_replace(x, r"<[^>]*>", "")
-    return F.array_join(F.filter(F.transform(F.split(x, "\n"), F.trim), lambda y: y != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(x, "\n"), lambda y: F.trim(y)), lambda y: y != ""), "\n")
 
 
 def host_of(url: Column) -> Column:

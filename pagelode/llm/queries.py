@@ -8,9 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, lines, packing, simhash
+from pagelode.llm import bpe, langid, lines, packing, simhash, toxicity
 from pagelode.llm.shared import Scratch, table
 
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -41,6 +46,22 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded"))
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from labelled rows outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return toxicity.score(docs.drop("lang"), model).select("doc_id", (remainder(5) == 0).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_pred").alias("predicted"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from rows outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, remainder(4) != 2)
+    return langid.identify(docs.drop("lang"), model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines of all pages without those on more than a tenth of their host's pages."""
@@ -57,7 +78,7 @@ WITH stripped AS (
       '<[^>]*>', '', 'g') AS t
   FROM pages
 ), page AS (
-  SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM stripped
+  SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM stripped
 ), per AS (
   SELECT DISTINCT page_id, host, unnest(ls) AS line FROM page WHERE host IS NOT NULL
 ), total AS (SELECT host, count(*) AS total FROM page WHERE host IS NOT NULL GROUP BY host
