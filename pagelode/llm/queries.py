@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, langid, lines, packing, simhash, toxicity
+from pagelode.llm import bpe, langid, lines, packing, repeats, simhash, toxicity
 from pagelode.llm.shared import Scratch, table
 
 def remainder(n: int):
@@ -62,6 +62,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.drop("lang"), model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
 
 
+@query
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document under 200-byte strings that also start elsewhere."""
+    docs = table(spark, sf_dir, "documents")
+    affected = repeats.Repeats(docs, Scratch(spark)).affected.select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
+    rows = docs.select("doc_id", repeats.text_key().alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    out = rows.join(affected, "key", "left")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", F.lower(F.hex("key"))).alias("kept_sha256"))
+
+
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines of all pages without those on more than a tenth of their host's pages."""

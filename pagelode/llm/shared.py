@@ -48,15 +48,20 @@ class Scratch:
         self.n = 0
         ship(spark)
 
-    def cut(self, df: DataFrame, by: str | None = None, buckets: int = 0) -> DataFrame:
+    def cut(self, df: DataFrame) -> DataFrame:
         """Write `df` and read it back."""
         path = f"{self.folder}/{self.n}"
         self.n += 1
         df.write.option("compression", "zstd").parquet(path)
+        self.tidy()
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
+    def tidy(self) -> None:
+        """Let Spark delete shuffle files of jobs that are over: it does so when the driver collects garbage."""
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete the files behind frames that `cut` returned."""
         jvm = self.spark._jvm
