@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, langid, lines, packing, repeats, simhash, toxicity
+from pagelode.llm import bpe, langid, lines, mih, packing, rabitq, repeats, simhash, toxicity
 from pagelode.llm.shared import Scratch, table
 
 def remainder(n: int):
@@ -25,6 +25,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for every hundredth one."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return mih.search(rows, rows.filter("vec_id % 100 = 0"), Scratch(spark))
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
@@ -72,6 +79,12 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", F.lower(F.hex("key"))).alias("kept_sha256"))
 
 
+@query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of vectors with equal labels and a cosine of at least 0.93."""
+    return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines of all pages without those on more than a tenth of their host's pages."""
