@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, langid, lines, mih, packing, rabitq, repeats, simhash, toxicity
+from pagelode.llm import bpe, langid, lines, mih, packing, rabitq, repeats, simhash, toxicity, transcripts
 from pagelode.llm.shared import Scratch, table
 
 def remainder(n: int):
@@ -53,6 +53,32 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded"))
 
 
+def raw_transcript():
+    """A turn as people paste it: three in four carry a speaker marker of one of several styles, the rest none."""
+    role, n = F.col("role"), F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    name = F.when(n == 0, F.initcap(role)).when(n == 1, F.expr("map('system', 'Context', 'user', 'Human', 'assistant', 'AI')[role]")).when(n == 2, F.expr("map('system', 'Instructions', 'user', 'Q', 'assistant', 'A')[role]")).otherwise(role)
+    text = F.coalesce("text", F.lit(""))
+    marked = F.when(n == 3, F.concat(F.lit("<|"), name, F.lit("|>"), text)).otherwise(F.concat(name, F.lit(": "), text))
+    return F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) == 0, text).otherwise(marked)
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from transcripts of all conversations, with the role each had, for comparison.
+
+    The model is counted over the conversations whose id leaves 0 divided by 5.
+    """
+    scratch = Scratch(spark)
+    raw = table(spark, sf_dir, "conversations").withColumn("raw", raw_transcript())
+    lines = scratch.cut(transcripts.symbols(transcripts.lines_of(raw, text="raw", carry=("role",))))
+    truth = F.expr("2 * (array_position(array('system', 'user', 'assistant'), role) - 1) + IF(opens, 0, 1)").cast("int")
+    model = transcripts.estimate(transcripts.counted(lines.filter("conv % 5 = 0").withColumn("state", truth).filter("state >= 0")))
+    found = transcripts.parse(lines, model, scratch)
+    known = lines.filter("opens").select("conv", F.col("pos").alias("start"), F.col("role").alias("true_role"))
+    out = found.join(known, ["conv", "start"], "left")
+    return out.select(F.col("conv").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "content", "rendered", "true_role", (F.col("conv") % 5 != 0).alias("held_out"))
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from labelled rows outside the held-out fifth."""
