@@ -140,3 +140,11 @@ WITH stripped AS (
 )
 SELECT page_id, host, array_to_string(k, chr(10)) AS text, greatest(len(ls), 1)::INTEGER AS n_lines, (len(ls) - len(k))::INTEGER AS n_dropped FROM kept
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline from documents to packed sequences."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
