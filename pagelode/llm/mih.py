@@ -117,6 +117,8 @@ def search(df: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 10, vec
     both = [f.filter(usable(F.col(vector))).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).distinct() for f in (df, queries)]
     rows = scratch.cut(both[0])
     dim = main_dimension(rows, "v")
+    if not dim:
+        return scratch.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, asked = rows.filter(F.size("v") == dim), scratch.cut(both[1].filter(F.size("v") == dim))
     if coder is None:
         picked = rows.select("v").orderBy(F.xxhash64("id", "v")).limit(SAMPLE).collect()

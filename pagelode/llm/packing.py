@@ -100,6 +100,13 @@ def cut_lengths(total: int, max_len: int) -> list[int]:
 _ENCODERS: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
+def encoder(path: str, pattern: str, ranks) -> tiktoken.Encoding:
+    """This worker's encoder for a broadcast vocabulary."""
+    if (path, pattern) not in _ENCODERS:
+        _ENCODERS[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
+    return _ENCODERS[path, pattern]
+
+
 def pieces(df: DataFrame, path: str, pattern: str, end_id: int, max_len: int, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Tokenise whole texts, append `end_id`, cut what is longer than `max_len`.
 
@@ -111,12 +118,9 @@ def pieces(df: DataFrame, path: str, pattern: str, end_id: int, max_len: int, te
     ship(df.sparkSession)
     v = vocabulary(path, pattern)
     ranks = df.sparkSession.sparkContext.broadcast(dict(zip(v.tokens, v.ids)))
-    name = (path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _ENCODERS:
-            _ENCODERS[name] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        encode = _ENCODERS[name].encode_to_numpy
+        encode = encoder(path, pattern, ranks).encode_to_numpy
         end = np.array([end_id], "<u4")
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
