@@ -50,7 +50,7 @@ def dedup(df: DataFrame, scratch: Scratch, ratio: float = 0.1, min_pages: int =
         joined = df.join(F.broadcast(lists), F.col(host) == F.col("__host"), "left")
     else:
         salted = df.withColumn("__salt", F.pmod(F.xxhash64(text), F.lit(SALTS)))
-        copies = lists.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        copies = lists.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = salted.join(copies, (F.col(host) == F.col("__host")) & (F.col("__salt") == F.col("__s")), "left").drop("__salt", "__s")
     lines = F.split(text, "\n")
     kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), digest(x))))
