@@ -46,14 +46,23 @@ def decode(col: str) -> str:
     return f"replace({out}, '&amp;', '&')"
 
 
+# Attributes of a tag as a list of name=value pairs, quotes respected; looked up by lower-case name.
+PAIR = r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+
+
+def _pair(name: str, head: str) -> str:
+    inside = f"regexp_replace({head}, '^<[A-Za-z][^\\s/>]*', '')"
+    return f"list_filter(regexp_extract_all({inside}, {s(PAIR)}), lambda p: lower(regexp_extract(p, '^[^\\s=]+', 0)) = {s(name)})[1]"
+
+
 def attr(name: str, head: str = "head") -> str:
-    val = rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    inner = f"regexp_replace(regexp_extract({head}, {s(val)}, 1), {s('''^["']|["']$''')}, '', 'g')"
-    return f"CASE WHEN regexp_extract({head}, {s(val)}, 1) <> '' THEN {decode(inner)} END"
+    value = f"regexp_extract({_pair(name, head)}, '(?s)=\\s*(.*)$', 1)"
+    inner = f"regexp_replace({value}, {s('''^["']|["']$''')}, '', 'g')"
+    return f"CASE WHEN {value} <> '' THEN {decode(inner)} END"
 
 
 def hasattr_(name: str, head: str = "head") -> str:
-    return f"regexp_matches({head}, {s(rf'(?i)\s{name}(\s|=|/|>)')})"
+    return f"({_pair(name, head)} IS NOT NULL)"
 
 
 def norm_label(col: str) -> str:
@@ -139,18 +148,24 @@ def registrable(h):
 
 _HIDE_STYLE = r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(\.0+)?\s*(;|$)"
 _BLOCKS = lst(M.BLOCK)
+# A tag ends at the first '>' outside quotes, or at the first one where quotes do not pair.
+OPEN_TAG = r"""<[A-Za-z/](?:[^>"']|"[^"]*"|'[^']*')*>"""
+TOKEN = (
+    r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<textarea\b.*?(?:</textarea\s*>|\z)"
+    rf"|{OPEN_TAG}|<[a-z/!][^>]*>|[^<]+|<"
+)
 
 
 def _nodes(src: str) -> str:
     void = lst(M.VOID)
     return f"""
-raw0 AS (SELECT page_id, regexp_extract_all(html, {s(M.TOKEN_RE)}) toks FROM {src}),
+raw0 AS (SELECT page_id, regexp_extract_all(html, {s(TOKEN)}) toks FROM {src}),
 tk0 AS (SELECT page_id, CAST(i - 1 AS INTEGER) seq, toks[i] tok FROM (SELECT page_id, toks, unnest(range(1, len(toks) + 1)) i FROM raw0)),
 tk AS (SELECT *, CASE WHEN kind IN ('raw','open','close') THEN lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9:_-]*)', 1)) END tag
   FROM (SELECT *, CASE WHEN tok[1:4] = '<!--' THEN 'comment' WHEN regexp_matches(tok, '(?i)^<(script|style|textarea)\\b') THEN 'raw'
     WHEN regexp_matches(tok, '^</[a-zA-Z]') THEN 'close' WHEN regexp_matches(tok, '^<[a-zA-Z]') THEN 'open'
     WHEN regexp_matches(tok, '^<[/!]') THEN 'decl' ELSE 'text' END kind FROM tk0)),
-n1 AS (SELECT *, CASE kind WHEN 'raw' THEN regexp_extract(tok, '(?s)^<[^>]*>', 0) WHEN 'open' THEN tok END head,
+n1 AS (SELECT *, CASE kind WHEN 'raw' THEN regexp_extract(tok, {s('(?s)^(?:' + OPEN_TAG + '|<[^>]*>)')}, 0) WHEN 'open' THEN tok END head,
     CASE WHEN kind = 'text' THEN {decode('tok')} ELSE '' END txt,
     kind = 'open' AND tag NOT IN {void} AND tok NOT LIKE '%/>' opens FROM tk),
 n2 AS (SELECT *, sum(CASE WHEN opens THEN 1 WHEN kind = 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id, tag ORDER BY seq) d FROM n1),
@@ -192,7 +207,7 @@ li2 AS (SELECT *, ld + CASE WHEN tag <> 'li' AND kind = 'close' THEN 1 ELSE 0 EN
 li3 AS (SELECT * EXCLUDE (end_seq, k, ld), coalesce(lead(seq) OVER (PARTITION BY page_id, k ORDER BY seq), end_seq) end_seq FROM li2),
 blsrc AS (SELECT page_id, seq, tag, hidden, end_seq FROM li3 WHERE tag = 'li' AND kind = 'open' UNION ALL
   SELECT page_id, seq, tag, hidden, end_seq FROM nd WHERE kind = 'open' AND (tag IN ('p','blockquote') OR (tag <> 'li' AND regexp_matches(coalesce(%s, ''), 'subtitle|subhead')))),
-blcap AS (SELECT * FROM blsrc QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY seq) <= 1000)""" % attr("class")
+blcap AS (SELECT * FROM blsrc)""" % attr("class")
 
 
 class Ctx:
@@ -224,24 +239,24 @@ hd_all AS MATERIALIZED (SELECT page_id, seq, CAST(tag[2] AS INTEGER) AS level, "
         if name == "bl":
             return _LI + "," + textof("bx", "true", "blcap") + f""",
 bl_all AS (SELECT page_id, seq, tag, "text", NOT hidden visible, {pos} AS position, {y} y FROM bx),
-bl AS MATERIALIZED (SELECT page_id, seq, "text", visible, position, y FROM bl_all WHERE length("text") > 1 AND length("text") < 2000)"""
+bl AS MATERIALIZED (SELECT page_id, seq, "text", visible, position, y FROM bl_all WHERE length("text") > 1)"""
         if name == "bt":
-            src = f"(SELECT * FROM nd WHERE kind = 'open' AND (tag IN ('a','button') OR (tag = 'input' AND lower(coalesce({attr('type')}, '')) IN ('submit','button')) OR coalesce({attr('role')}, '') = 'button') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY seq) <= 800)"
+            src = f"(SELECT * FROM nd WHERE kind = 'open' AND (tag IN ('a','button') OR (tag = 'input' AND lower(coalesce({attr('type')}, '')) IN ('submit','button')) OR coalesce({attr('role')}, '') = 'button'))"
             label = f"CASE WHEN tag = 'input' THEN {attr('value')} ELSE coalesce(nullif(\"text\", ''), {attr('aria-label')}) END"
             return textof("bb", "true", src) + f""",
 bt AS MATERIALIZED (SELECT b.page_id, seq, {collapse(label)} AS "text", tag, {attr('type')} AS "type", {resolve('rh', 'url')} AS href, NOT hidden visible, {pos} AS position, {y} y
   FROM (SELECT *, nullif({attr('href')}, '') rh FROM bb) b JOIN (SELECT page_id, url FROM lp) u ON u.page_id = b.page_id),
 bt2 AS (SELECT * FROM bt WHERE "text" <> '' OR href IS NOT NULL)"""
         if name == "ln":
-            src = f"(SELECT * FROM nd WHERE kind = 'open' AND tag = 'a' AND {hasattr_('href')} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY seq) <= 1200)"
+            src = f"(SELECT * FROM nd WHERE kind = 'open' AND tag = 'a' AND {hasattr_('href')})"
             return textof("lx", "true", src) + f""",
 ln AS MATERIALIZED (SELECT l.page_id, seq, "text", raw_href, {resolve('raw_href', 'url')} AS href, NOT hidden visible, {pos} AS position, in_nav, in_footer, {y} y, url
   FROM (SELECT *, {attr('href')} raw_href FROM lx) l JOIN (SELECT page_id, url FROM lp) u ON u.page_id = l.page_id)"""
         if name == "sc":
-            body = f"regexp_extract(tok, {s(r'(?is)^<[^>]*>(.*?)(?:</script\s*>)?\z')}, 1)"
+            body = f"regexp_extract(tok, {s('(?is)^(?:' + OPEN_TAG + r'|<[^>]*>)(.*?)(?:</script\s*>)?\z')}, 1)"
             flat = rep(body, WSC + "+", " ")
-            return f"""sc AS MATERIALIZED (SELECT n.page_id, seq, src, {host(resolve("nullif(src, '')", 'url'))} AS host, nullif(substr(flat, 1, 2000), '') inline_snippet, length(flat) <= 2000 snippet_whole, url FROM (
-  SELECT *, CASE WHEN coalesce(src, '') = '' THEN {flat} END flat FROM (SELECT *, {attr('src')} src FROM nd WHERE kind = 'raw' AND tag = 'script' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY seq) <= 600)) n JOIN (SELECT page_id, url FROM lp) u ON u.page_id = n.page_id)"""
+            return f"""sc AS MATERIALIZED (SELECT n.page_id, seq, src, {host(resolve("nullif(src, '')", 'url'))} AS host, nullif(flat, '') inline_snippet, url FROM (
+  SELECT *, CASE WHEN coalesce(src, '') = '' THEN {flat} END flat FROM (SELECT *, {attr('src')} src FROM nd WHERE kind = 'raw' AND tag = 'script')) n JOIN (SELECT page_id, url FROM lp) u ON u.page_id = n.page_id)"""
         if name == "vt":
             shown = (
                 f"CASE WHEN kind = 'text' AND NOT hidden THEN {rep('txt', WSC + '+', ' ')} "
@@ -253,9 +268,8 @@ ln AS MATERIALIZED (SELECT l.page_id, seq, "text", raw_href, {resolve('raw_href'
         if name == "im":
             return f"""im_all AS (SELECT i.page_id, seq, {resolve('r', 'url')} AS src, alt, NOT hidden visible, {pos} AS position, w AS width, h AS height, NOT coalesce(w < 20 OR h < 20, false) meets, {y} y
   FROM (SELECT *, coalesce(nullif({attr('src')}, ''), {attr('data-src')}) r, nullif({attr('alt')}, '') alt,
-   CAST({ext(attr('width'), '^[0-9]{1,6}')} AS INTEGER) w, CAST({ext(attr('height'), '^[0-9]{1,6}')} AS INTEGER) h FROM nd WHERE kind = 'open' AND tag = 'img'
-   QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY seq) <= 600) i JOIN (SELECT page_id, url FROM lp) u ON u.page_id = i.page_id),
-im AS MATERIALIZED (SELECT * FROM (SELECT * FROM im_all QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY seq) <= 200) WHERE meets)"""
+   CAST({ext(attr('width'), '^[0-9]{1,6}')} AS INTEGER) w, CAST({ext(attr('height'), '^[0-9]{1,6}')} AS INTEGER) h FROM nd WHERE kind = 'open' AND tag = 'img') i JOIN (SELECT page_id, url FROM lp) u ON u.page_id = i.page_id),
+im AS MATERIALIZED (SELECT * FROM im_all WHERE meets)"""
         raise KeyError(name)
 
     def sql(self, ctes: list[str], tail: str, extra: str = "") -> str:

@@ -60,12 +60,12 @@ def _(spark, d):
     return web(spark, d).links.select("page_id", "seq", "text", "href", "in_nav", "in_footer")
 
 
-@register("b36_scripts", LP.sql(["sc"], "SELECT page_id, seq, src, host, inline_snippet, snippet_whole FROM sc"))
+@register("b36_scripts", LP.sql(["sc"], "SELECT page_id, seq, src, host, inline_snippet FROM sc"))
 def _(spark, d):
     return snapshot(spark, d).scripts
 
 
-@register("b39_visible_text", LP.sql(["vt"], "SELECT page_id, md5(substr(visible_text, 1, 100000)) AS digest, length(visible_text) AS characters FROM vt"))
+@register("b39_visible_text", LP.sql(["vt"], "SELECT page_id, md5(visible_text) AS digest, length(visible_text) AS characters FROM vt"))
 def _(spark, d):
     return snapshot(spark, d).page_text.select("page_id", F.md5("visible_text").alias("digest"), F.col("characters").cast("long").alias("characters"))
 

@@ -48,7 +48,7 @@ def _(spark, d):
     return snapshot(spark, d).meta_whitelist.select("page_id", "description", "robots", "og_title", "og_site_name", "twitter_card", "charset", "has_viewport_meta", "canonical")
 
 
-@register("b08_metas", LP.sql([], f"SELECT page_id, seq, {attr('name')} AS name, {attr('property')} AS property, {attr('content')} AS content FROM nd WHERE kind = 'open' AND tag = 'meta' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY seq) <= 300"))
+@register("b08_metas", LP.sql([], f"SELECT page_id, seq, {attr('name')} AS name, {attr('property')} AS property, {attr('content')} AS content FROM nd WHERE kind = 'open' AND tag = 'meta'"))
 def _(spark, d):
     return snapshot(spark, d).metas.select("page_id", "seq", "name", "property", "content")
 
@@ -61,7 +61,7 @@ def _(spark, d):
 _LDBODY = f"regexp_extract(tok, {s(r'(?is)^<[^>]*>(.*?)(?:</script\s*>)?\z')}, 1)"
 
 
-@register("b11_json_ld", LP.sql([], f"SELECT page_id, seq, NOT json_valid({_LDBODY}) AS parse_error, CASE WHEN NOT json_valid({_LDBODY}) THEN substr({_LDBODY}, 1, 500) END AS raw FROM nd WHERE kind = 'raw' AND tag = 'script' AND {attr('type')} = 'application/ld+json'"))
+@register("b11_json_ld", LP.sql([], f"SELECT page_id, seq, NOT json_valid({_LDBODY}) AS parse_error, CASE WHEN NOT json_valid({_LDBODY}) THEN {_LDBODY} END AS raw FROM nd WHERE kind = 'raw' AND tag = 'script' AND {attr('type')} = 'application/ld+json'"))
 def _(spark, d):
     return snapshot(spark, d).json_ld.select("page_id", "seq", "parse_error", "raw")
 
@@ -73,8 +73,8 @@ def _(spark, d):
 
 _FIELDS = f"""ff AS (SELECT *, lower(coalesce({attr('type')}, '')) ty FROM nd WHERE kind IN ('open','raw') AND tag IN ('input','textarea','select')),
 hasform AS (SELECT DISTINCT page_id FROM nd WHERE kind = 'open' AND tag = 'form' AND end_seq > seq),
-fo AS MATERIALIZED (SELECT f.*, h.page_id IS NULL orphan, CASE WHEN h.page_id IS NULL THEN CASE WHEN row_number() OVER w <= 40 THEN min(seq) OVER (PARTITION BY f.page_id) END ELSE form_seq END fseq
-  FROM (SELECT * FROM ff WHERE ty NOT IN ('hidden','submit','button','image','reset')) f LEFT JOIN hasform h ON h.page_id = f.page_id WINDOW w AS (PARTITION BY f.page_id ORDER BY seq))"""
+fo AS MATERIALIZED (SELECT f.*, h.page_id IS NULL orphan, CASE WHEN h.page_id IS NULL THEN min(seq) OVER (PARTITION BY f.page_id) ELSE form_seq END fseq
+  FROM (SELECT * FROM ff WHERE ty NOT IN ('hidden','submit','button','image','reset')) f LEFT JOIN hasform h ON h.page_id = f.page_id)"""
 
 
 @register("b18_form_fields", LP.sql([], f"""SELECT page_id, seq, fseq AS form_seq, orphan, {attr('name')} AS name, tag, coalesce(nullif({attr('type')}, ''), CASE tag WHEN 'select' THEN 'select' WHEN 'textarea' THEN 'textarea' ELSE 'text' END) AS type,
@@ -91,7 +91,7 @@ def _(spark, d):
 @register("b20_field_options", LP.sql([], f"""SELECT page_id, select_seq AS field_seq, seq AS o_seq, "text" FROM ox WHERE "text" <> '' AND fs IS NOT NULL
 UNION ALL SELECT a.page_id, a.seq, c.seq, coalesce(nullif(c.v, ''), 'on') FROM (SELECT page_id, seq, form_seq, coalesce({attr('name')}, '') nm FROM ff WHERE form_seq IS NOT NULL AND tag <> 'select' AND ty NOT IN ('hidden','submit','button','image','reset')) a
 JOIN (SELECT page_id, seq, form_seq, coalesce({attr('name')}, '') nm, {attr('value')} v FROM ff WHERE tag = 'input' AND form_seq IS NOT NULL AND ty IN ('radio','checkbox')) c ON c.page_id = a.page_id AND c.form_seq = a.form_seq AND c.nm = a.nm""",
-    _FIELDS + "," + D.textof("ox", "kind = 'open' AND tag = 'option' AND select_seq IS NOT NULL", "(SELECT n.*, (SELECT form_seq FROM nd z WHERE z.page_id = n.page_id AND z.seq = n.select_seq) fs FROM nd n)")))
+    _FIELDS + "," + D.textof("ox", "kind = 'open' AND tag = 'option' AND select_seq IS NOT NULL", "(SELECT n.*, z.form_seq fs FROM nd n LEFT JOIN (SELECT page_id, seq, form_seq FROM nd WHERE tag = 'select') z ON z.page_id = n.page_id AND z.seq = n.select_seq)")))
 def _(spark, d):
     return snapshot(spark, d).field_options.select("page_id", "field_seq", "o_seq", "text")
 
@@ -146,12 +146,12 @@ def _(spark, d):
 _TM = D.textof("tmx", f"kind = 'open' AND (regexp_matches(coalesce({attr('class')}, ''), 'countdown|timer|clock') OR regexp_matches(coalesce({attr('id')}, ''), 'countdown|timer'))")
 
 
-@register("b34_timers", LP.sql([], "SELECT page_id, seq, substr(\"text\", 1, 200) AS text, NOT hidden AS visible FROM tmx WHERE \"text\" <> ''", _TM))
+@register("b34_timers", LP.sql([], "SELECT page_id, seq, \"text\" AS text, NOT hidden AS visible FROM tmx WHERE \"text\" <> ''", _TM))
 def _(spark, d):
     return snapshot(spark, d).timers.select("page_id", "seq", "text", "visible")
 
 
-@register("b35_dialogs", LP.sql([], "SELECT page_id, seq, substr(\"text\", 1, 500) AS text, NOT hidden AS visible FROM dgx", D.textof("dgx", f"kind = 'open' AND (tag = 'dialog' OR coalesce({attr('role')}, '') = 'dialog' OR regexp_matches(coalesce({attr('class')}, ''), 'modal|popup'))")))
+@register("b35_dialogs", LP.sql([], "SELECT page_id, seq, \"text\" AS text, NOT hidden AS visible FROM dgx", D.textof("dgx", f"kind = 'open' AND (tag = 'dialog' OR coalesce({attr('role')}, '') = 'dialog' OR regexp_matches(coalesce({attr('class')}, ''), 'modal|popup'))")))
 def _(spark, d):
     return snapshot(spark, d).dialogs.select("page_id", "seq", "text", "visible")
 
@@ -366,7 +366,7 @@ def _(spark, d):
 _CTA = f"""ct0 AS (SELECT *, trim("text", ' ') t FROM bt2),
 ct AS MATERIALIZED (SELECT * FROM ct0 WHERE t <> '' AND length(t) <= 120 AND NOT {has('t', L.CTA_IGNORE)} AND (tag = 'button' OR lower(coalesce("type", '')) = 'submit' OR {has('t', L.CTA_HINTS)} OR (visible AND length(t) <= 40 AND {has('t', L.CTA_VERBS)}))
   QUALIFY row_number() OVER (PARTITION BY page_id, lower(t), coalesce(href, ''), y ORDER BY seq) = 1)"""
-_SUP = """sup AS (SELECT page_id, seq, substr(string_agg(bt, ' ' ORDER BY i), 1, 400) sc FROM (SELECT c.page_id, c.seq, b."text" bt, row_number() OVER (PARTITION BY c.page_id, c.seq ORDER BY abs(b.y - c.y), b.seq) i FROM ct c JOIN bl b ON b.page_id = c.page_id AND abs(b.y - c.y) < 280 AND b."text" <> c.t) WHERE i <= 2 GROUP BY 1, 2)"""
+_SUP = """sup AS (SELECT page_id, seq, string_agg(bt, ' ' ORDER BY i) sc FROM (SELECT c.page_id, c.seq, b."text" bt, row_number() OVER (PARTITION BY c.page_id, c.seq ORDER BY abs(b.y - c.y), b.seq) i FROM ct c JOIN bl b ON b.page_id = c.page_id AND abs(b.y - c.y) < 280 AND b."text" <> c.t) WHERE i <= 2 GROUP BY 1, 2)"""
 _CTA_SQL = """SELECT c.page_id, c.seq, c.t AS text, c.href, c.visible, c.position, (SELECT arg_max(h."text", h.y) FROM hd h WHERE h.page_id = c.page_id AND h.y <= c.y) AS headline_above, s.sc AS supporting_copy FROM ct c LEFT JOIN sup s ON s.page_id = c.page_id AND s.seq = c.seq"""
 
 
@@ -397,14 +397,14 @@ _NONPRICE = f"""((regexp_matches("text", {s(P.NOT_A_PRICE)}) AND NOT contains(a,
 
 @register("e04_pricing", LP.sql(["hd_all", "hd", "bl", "bt"], f"""SELECT page_id, seq, a AS amount, {ext('"text"', P.ORIGINAL_PRICE, 1)} AS original_price, position FROM (
  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank, seq, i) rn FROM (SELECT * FROM (SELECT *, l[i] a FROM (SELECT *, unnest(range(1, len(l) + 1)) i FROM (SELECT *, regexp_extract_all("text", {s(P.PRICE)}) l FROM tbb))) WHERE NOT {_NONPRICE}
- QUALIFY row_number() OVER (PARTITION BY page_id, a, substr("text", 1, 40) ORDER BY rank, seq, i) = 1)) WHERE rn <= 40""", _TB))
+ QUALIFY row_number() OVER (PARTITION BY page_id, a, "text" ORDER BY rank, seq, i) = 1))""", _TB))
 def _(spark, d):
     return detectors(spark, d).pricing.select("page_id", "seq", "amount", "original_price", "position")
 
 
 _TST = f"""tq AS (SELECT page_id, 0 AS pass, 0 AS h_seq, seq, "text", position, y FROM bl WHERE regexp_matches(trim("text", ' '), '^["“'']') AND length(trim("text", ' ')) BETWEEN 41 AND 799),
-tu AS (SELECT h.page_id, 1 AS pass, h.seq h_seq, b.seq, b."text", b.position, b.y FROM hd h JOIN bl b ON b.page_id = h.page_id AND b.y >= h.y AND b.y < h.y + 900 AND length(b."text") > 40 WHERE {has('h."text"', C.TESTIMONIAL_HEADINGS)} QUALIFY row_number() OVER (PARTITION BY h.page_id, h.seq ORDER BY b.seq) <= 6),
-te AS (SELECT * FROM (SELECT * FROM tq UNION ALL SELECT * FROM tu) QUALIFY row_number() OVER (PARTITION BY page_id, substr("text", 1, 80) ORDER BY pass, h_seq, seq) = 1),
+tu AS (SELECT h.page_id, 1 AS pass, h.seq h_seq, b.seq, b."text", b.position, b.y FROM hd h JOIN bl b ON b.page_id = h.page_id AND b.y >= h.y AND b.y < h.y + 900 AND length(b."text") > 40 WHERE {has('h."text"', C.TESTIMONIAL_HEADINGS)}),
+te AS (SELECT * FROM (SELECT * FROM tq UNION ALL SELECT * FROM tu) QUALIFY row_number() OVER (PARTITION BY page_id, "text" ORDER BY pass, h_seq, seq) = 1),
 tt AS MATERIALIZED (SELECT * FROM te WHERE NOT ({has('"text"', C.PROBLEM_STATEMENT)} AND NOT {has('"text"', C.RESULT)}))"""
 
 
@@ -421,7 +421,7 @@ def _(spark, d):
 _UK = " UNION ALL ".join(f"SELECT page_id, rank, seq, {i} AS k, {s(k)} AS kind, {str(c).lower()} AS concrete, \"text\", position, lower(regexp_extract(\"text\", {s(p)}, 0)) m FROM tbb WHERE {has('\"text\"', p)}" for i, (k, p, c) in enumerate(C.URGENCY_KINDS))
 
 
-@register("e07_urgency", LP.sql(["hd_all", "hd", "bl", "bt"], f"SELECT page_id, kind, concrete AS concrete_deadline_visible, substr(\"text\", 1, 240) AS text, position FROM ({_UK}) QUALIFY row_number() OVER (PARTITION BY page_id, kind, m ORDER BY rank, seq, k) = 1 UNION ALL SELECT page_id, 'countdown_timer', regexp_matches(t, '[0-9]'), t, CASE WHEN seq * 10 < 900 THEN 'above_fold' ELSE 'below_fold' END FROM (SELECT page_id, seq, substr(\"text\", 1, 200) t FROM tmx WHERE \"text\" <> '') QUALIFY row_number() OVER (PARTITION BY page_id, t ORDER BY seq) = 1", _TB + "," + _TM))
+@register("e07_urgency", LP.sql(["hd_all", "hd", "bl", "bt"], f"SELECT page_id, kind, concrete AS concrete_deadline_visible, \"text\" AS text, position FROM ({_UK}) QUALIFY row_number() OVER (PARTITION BY page_id, kind, m ORDER BY rank, seq, k) = 1 UNION ALL SELECT page_id, 'countdown_timer', regexp_matches(t, '[0-9]'), t, CASE WHEN seq * 10 < 900 THEN 'above_fold' ELSE 'below_fold' END FROM (SELECT page_id, seq, \"text\" t FROM tmx WHERE \"text\" <> '') QUALIFY row_number() OVER (PARTITION BY page_id, t ORDER BY seq) = 1", _TB + "," + _TM))
 def _(spark, d):
     return detectors(spark, d).urgency.select("page_id", "kind", "concrete_deadline_visible", "text", "position")
 
@@ -434,20 +434,20 @@ def _(spark, d):
 @register("e09_benefits", LP.sql(["hd_all", "hd", "bl"], f"""SELECT page_id, h_seq, seq, t AS text FROM (SELECT *, max(CASE WHEN listy THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, h_seq) sm FROM (
  SELECT h.page_id, h.seq h_seq, b.seq, b."text" t, length(b."text") < 240 OR regexp_matches(b."text", '^[-•*]') OR regexp_matches(b."text", '^[0-9]+[).]') listy FROM
  (SELECT x.page_id, x.seq, x.y, coalesce((SELECT arg_min(o.y, o.seq) FROM hd o WHERE o.page_id = x.page_id AND o.y > x.y AND o.level <= x.level), x.y + 800) b FROM hd x WHERE {has('x."text"', C.BENEFIT_HEADINGS)}) h JOIN bl b ON b.page_id = h.page_id AND b.y >= h.y AND b.y < h.b AND length(b."text") > 12))
- WHERE listy OR sm = 0 QUALIFY row_number() OVER (PARTITION BY page_id, h_seq ORDER BY seq) <= 12"""))
+ WHERE listy OR sm = 0"""))
 def _(spark, d):
     return detectors(spark, d).benefits.filter("kind = 'benefit_or_takeaway'").select("page_id", "h_seq", "seq", "text")
 
 
-_OBJ = " UNION ALL ".join(f"SELECT page_id, rank, seq, {s(k)} AS topic, \"text\", position, substr(\"text\", 1, 60) key FROM tb WHERE {has('\"text\"', p)}" for k, p in C.OBJECTION_TOPICS)
+_OBJ = " UNION ALL ".join(f"SELECT page_id, rank, seq, {s(k)} AS topic, \"text\", position, \"text\" key FROM tb WHERE {has('\"text\"', p)}" for k, p in C.OBJECTION_TOPICS)
 
 
-@register("e10_objections", LP.sql(["hd_all", "hd", "bl"], f"SELECT page_id, topic, substr(\"text\", 1, 400) AS text, position FROM (SELECT o.*, row_number() OVER (PARTITION BY page_id, topic, key ORDER BY rank, seq) rn, min(CASE WHEN topic = 'price' THEN rank * 1000000 + seq END) OVER (PARTITION BY page_id, key) pr FROM ({_OBJ}) o) WHERE rn = 1 AND (topic <> 'price_mention' OR pr IS NULL OR pr > rank * 1000000 + seq)", _TB))
+@register("e10_objections", LP.sql(["hd_all", "hd", "bl"], f"SELECT page_id, topic, \"text\" AS text, position FROM (SELECT o.*, row_number() OVER (PARTITION BY page_id, topic, key ORDER BY rank, seq) rn, min(CASE WHEN topic = 'price' THEN rank * 1000000 + seq END) OVER (PARTITION BY page_id, key) pr FROM ({_OBJ}) o) WHERE rn = 1 AND (topic <> 'price_mention' OR pr IS NULL OR pr > rank * 1000000 + seq)", _TB))
 def _(spark, d):
     return detectors(spark, d).objections.select("page_id", "topic", "text", "position")
 
 
-@register("e11_bonuses", LP.sql(["hd_all", "hd", "bl"], f"SELECT page_id, kind, substr(\"text\", 1, 400) AS text FROM (SELECT *, {chain([(has('\"text\"', p), k) for k, p in C.BONUS_KINDS])} kind FROM tb) WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id, substr(\"text\", 1, 80) ORDER BY rank, seq) = 1", _TB))
+@register("e11_bonuses", LP.sql(["hd_all", "hd", "bl"], f"SELECT page_id, kind, \"text\" AS text FROM (SELECT *, {chain([(has('\"text\"', p), k) for k, p in C.BONUS_KINDS])} kind FROM tb) WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id, \"text\" ORDER BY rank, seq) = 1", _TB))
 def _(spark, d):
     return detectors(spark, d).bonuses.select("page_id", "kind", "text")
 
@@ -460,17 +460,17 @@ _BEFORE = C.NEGATOR_BEFORE
 
 @register("e12_guarantees", LP.sql(["hd_all", "hd", "bl"], f"""SELECT page_id, kind, {clip('x', 240)} AS text, {ext('x', C.DURATION)} AS duration FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank, seq, i) rn FROM (SELECT * FROM (SELECT *, {_GP} g FROM (SELECT *, {_GK} kind FROM se) WHERE kind IS NOT NULL)
  WHERE NOT {has('x', C.POLICY_LABEL)} AND NOT {has('x', C.NEGATED_PHRASE)} AND NOT {has('g[1]', _BEFORE)} AND NOT {has('substr(x, length(g[1]) + length(g[2]) + 1)', C.NEGATOR_AFTER)} AND NOT ({has('x', C.POLICY_REFERENCE)} AND NOT {has('x', C.PROMISE)} AND NOT {has('x', C.DURATION)})
- QUALIFY row_number() OVER (PARTITION BY page_id, lower(x) ORDER BY rank, seq, i) = 1)) WHERE rn <= 20""", _TB + "," + _SE))
+ QUALIFY row_number() OVER (PARTITION BY page_id, lower(x) ORDER BY rank, seq, i) = 1))""", _TB + "," + _SE))
 def _(spark, d):
     return detectors(spark, d).guarantees.select("page_id", "kind", "text", "duration")
 
 
-@register("e23_deadlines", LP.sql(["hd_all", "hd", "bl"], f"SELECT page_id, {clip('x', 240)} AS text, {ext('x', C.DATE_TEXT)} AS date_text FROM (SELECT * FROM se WHERE {has('x', C.CLOSING_VERB)} AND {has('x', C.DATE_TEXT)} QUALIFY row_number() OVER (PARTITION BY page_id, lower(x) ORDER BY rank, seq, i) = 1) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank, seq, i) <= 15", _TB + "," + _SE))
+@register("e23_deadlines", LP.sql(["hd_all", "hd", "bl"], f"SELECT page_id, {clip('x', 240)} AS text, {ext('x', C.DATE_TEXT)} AS date_text FROM (SELECT * FROM se WHERE {has('x', C.CLOSING_VERB)} AND {has('x', C.DATE_TEXT)} QUALIFY row_number() OVER (PARTITION BY page_id, lower(x) ORDER BY rank, seq, i) = 1)", _TB + "," + _SE))
 def _(spark, d):
     return detectors(spark, d).deadlines.select("page_id", "text", "date_text")
 
 
-@register("e23_scarcity", LP.sql(["hd_all", "hd", "bl"], f"SELECT page_id, kind, {clip('x', 240)} AS text FROM (SELECT * FROM (SELECT *, {chain([(has('x', p), k) for k, p in C.SCARCITY_KINDS])} kind FROM se) WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id, kind, lower(x) ORDER BY rank, seq, i) = 1) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank, seq, i) <= 15", _TB + "," + _SE))
+@register("e23_scarcity", LP.sql(["hd_all", "hd", "bl"], f"SELECT page_id, kind, {clip('x', 240)} AS text FROM (SELECT * FROM (SELECT *, {chain([(has('x', p), k) for k, p in C.SCARCITY_KINDS])} kind FROM se) WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id, kind, lower(x) ORDER BY rank, seq, i) = 1)", _TB + "," + _SE))
 def _(spark, d):
     return detectors(spark, d).scarcity.select("page_id", "kind", "text")
 
@@ -591,7 +591,7 @@ def _(spark, d):
     return sections(spark, d).ctas.select("page_id", "index", "text", "type", "kind", "url", "host", "provider", "anchor", "is_primary", "form_index")
 
 
-@register("g06_repeated_messages", LP.sql(["hd_all", "hd", "bl"], f"SELECT page_id, {clip(collapse('t'), 160, 'dots')} AS text, n AS occurrences FROM (SELECT page_id, k, count(*) n, min(rank * 1000000 + seq) f, arg_min(\"text\", rank * 1000000 + seq) t FROM (SELECT *, {D.norm_msg('\"text\"')} k FROM tb WHERE visible) WHERE length(k) >= 15 GROUP BY 1, 2 HAVING count(*) >= 2) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, f) <= 10", _TB))
+@register("g06_repeated_messages", LP.sql(["hd_all", "hd", "bl"], f"SELECT page_id, {clip(collapse('t'), 160, 'dots')} AS text, n AS occurrences FROM (SELECT page_id, k, count(*) n, min(rank * 1000000 + seq) f, arg_min(\"text\", rank * 1000000 + seq) t FROM (SELECT *, {D.norm_msg('\"text\"')} k FROM tb WHERE visible) WHERE length(k) >= 15 GROUP BY 1, 2 HAVING count(*) >= 2)", _TB))
 def _(spark, d):
     return sections(spark, d).repeated_messages.drop("i")
 
@@ -601,7 +601,7 @@ def _(spark, d):
     return sections(spark, d).key_messages
 
 
-@register("h12_above_fold_copy", LP.sql(["hd_all", "hd", "bl"], f"SELECT page_id, t AS text FROM (SELECT *, trim(\"text\", ' ') t, {D.norm_msg('\"text\"')} k FROM tb WHERE visible AND position = 'above_fold' QUALIFY k <> '' AND row_number() OVER (PARTITION BY page_id, k ORDER BY y, rank, seq) = 1) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY y, rank, seq) <= 12", _TB))
+@register("h12_above_fold_copy", LP.sql(["hd_all", "hd", "bl"], f"SELECT page_id, t AS text FROM (SELECT *, trim(\"text\", ' ') t, {D.norm_msg('\"text\"')} k FROM tb WHERE visible AND position = 'above_fold' QUALIFY k <> '' AND row_number() OVER (PARTITION BY page_id, k ORDER BY y, rank, seq) = 1)", _TB))
 def _(spark, d):
     return sections(spark, d).above_fold_copy.drop("i")
 
@@ -671,7 +671,7 @@ def _(spark, d):
     return sections(spark, d).context.select("page_id", "conversion_path", "has_form", "form_above_fold", "conversion_in_view", "page_rendered", "checkout_signal", "expects_price", "expects_proof", "label")
 
 
-@register("l05_g17_link_candidates", LP.sql(["ln"], f"SELECT page_id, count(*) FILTER (WHERE r IS NULL AND n <= 25) AS checked, count(*) FILTER (WHERE NOT (r IS NULL AND n <= 25)) AS skipped FROM (SELECT *, sum(CASE WHEN r IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY seq) n FROM (SELECT page_id, u, min(seq) seq, CASE WHEN NOT bool_or(visible) THEN 'hidden' END r FROM (SELECT *, regexp_replace(href, '#.*$', '') u FROM ln WHERE trim(coalesce(href, ''), ' ') <> '') WHERE regexp_matches(u, '^https?://') AND trim(raw_href, ' ')[1] <> '#' GROUP BY 1, 2)) GROUP BY page_id"))
+@register("l05_g17_link_candidates", LP.sql(["ln"], f"SELECT page_id, count(*) FILTER (WHERE r IS NULL) AS checked, count(*) FILTER (WHERE r IS NOT NULL) AS skipped FROM (SELECT *, sum(CASE WHEN r IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY seq) n FROM (SELECT page_id, u, min(seq) seq, CASE WHEN NOT bool_or(visible) THEN 'hidden' END r FROM (SELECT *, regexp_replace(href, '#.*$', '') u FROM ln WHERE trim(coalesce(href, ''), ' ') <> '') WHERE regexp_matches(u, '^https?://') AND trim(raw_href, ' ')[1] <> '#' GROUP BY 1, 2)) GROUP BY page_id"))
 def _(spark, d):
     doc = snapshot(spark, d)
     return LC.summary(LC.candidates(doc.links, doc.base)).select("page_id", "checked", F.col("skipped").cast("long").alias("skipped"))

@@ -18,7 +18,7 @@ from pagelode.functions import urls as U
 from pagelode.functions.base import blank_to_null, chain, cut, ext, ext_all, has, rx, txt
 from pagelode.functions.text import strip
 from pagelode.operators.elements import fold
-from pagelode.operators.markup import cap, first_wins, numbered
+from pagelode.operators.markup import first_wins, numbered
 from pagelode.operators.nearby import nearest_above, range_join
 from pagelode.operators.staging import table
 
@@ -93,7 +93,7 @@ class Detectors:
         w = W.partitionBy("page_id", "seq").orderBy(F.abs(F.col("r_y") - F.col("y")), "r_seq")
         top = pairs.withColumn("i", F.row_number().over(w)).filter("i <= 2")
         return top.groupBy("page_id", "seq").agg(
-            blank_to_null(cut(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "r_text"))), lambda x: x["r_text"]), " "), 400)).alias("supporting_copy")
+            blank_to_null(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "r_text"))), lambda x: x["r_text"]), " ")).alias("supporting_copy")
         )
 
     # ---------------------------------------------------------------- forms
@@ -124,14 +124,13 @@ class Detectors:
 
     @table
     def pricing(self) -> DataFrame:
-        """Prices in headings, blocks and buttons, the first 40 of a page."""
+        """Prices in headings, blocks and buttons."""
         t = self.copy_and_buttons.filter(has("text", P.PRICE))
         t = t.select("*", F.posexplode(P.price_tokens("text")).alias("i", "amount")).filter(~P.is_non_price("text", "amount"))
-        t = t.withColumn("k", F.concat_ws("|", "amount", cut(F.col("text"), 40)))
+        t = t.withColumn("k", F.concat_ws("|", "amount", "text"))
         t = first_wins(t, ["page_id", "k"], ["rank", "seq", "i"])
-        t = cap(t, 40, ["rank", "seq", "i"])
         return t.select(
-            "page_id", "rank", "seq", "i", cut(F.col("text"), 240).alias("text"), "amount", P.currency("amount").alias("currency"),
+            "page_id", "rank", "seq", "i", "text", "amount", P.currency("amount").alias("currency"),
             ext("text", P.ORIGINAL_PRICE, 1).alias("original_price"), "visible", "position", "y",
         )
 
@@ -149,11 +148,11 @@ class Detectors:
             "page_id", F.col("seq").alias("h_seq"), F.col("text").alias("h_text"), F.col("y").alias("h_y")
         )
         under = range_join(heads, self._blocks_right().filter("length(r_text) > 40"), F.col("h_y"), F.col("h_y") + 899, 900)
-        under = cap(under, 6, ["r_seq"], ["page_id", "h_seq"]).select(
+        under = under.select(
             "page_id", F.lit(1).alias("pass"), "h_seq", F.col("r_seq").alias("seq"), F.col("r_text").alias("text"),
             F.col("r_visible").alias("visible"), F.col("r_position").alias("position"), F.col("r_y").alias("y"), "h_text",
         )
-        both = quoted.unionByName(under).withColumn("k", cut(F.col("text"), 80))
+        both = quoted.unionByName(under).withColumn("k", F.col("text"))
         both = first_wins(both, ["page_id", "k"], ["pass", "h_seq", "seq"]).drop("k").filter(~C.is_problem_statement("text"))
         both = numbered(both, "index", ["pass", "h_seq", "seq"])
         named = both.join(self.name_near(both), ["page_id", "index"], "left")
@@ -177,19 +176,19 @@ class Detectors:
 
     @table
     def social_proof(self) -> DataFrame:
-        """Testimonials, quantified numbers (10), logos (12) and case-study wording."""
+        """Testimonials, quantified numbers, logos and case-study wording."""
         none = F.lit(None).cast("string")
         t = self.testimonials.select(
             "page_id", F.lit(0).alias("part"), F.col("index").alias("i"),
             F.when(F.col("format") == "testimonial_like_text", F.col("format")).otherwise(F.lit("testimonial")).alias("kind"),
-            cut(F.col("text"), 280).alias("text"), "position", "section",
+            "text", "position", "section",
         )
         text = self.doc.page.select("page_id", "visible_text")
-        nums = text.select("page_id", F.posexplode(F.slice(ext_all("visible_text", C.QUANTIFIED), 1, 10)).alias("i", "text")).select(
+        nums = text.select("page_id", F.posexplode(ext_all("visible_text", C.QUANTIFIED)).alias("i", "text")).select(
             "page_id", F.lit(1).alias("part"), "i", F.lit("quantified_number").alias("kind"), "text", F.lit("unknown").alias("position"), none.alias("section")
         )
         logos = self.doc.images.filter(has(F.concat_ws(" ", txt(F.col("alt")), txt(F.col("src"))), C.LOGO_IMAGE) & F.col("visible"))
-        logos = cap(logos, 12).select(
+        logos = logos.select(
             "page_id", F.lit(2).alias("part"), F.col("seq").alias("i"), F.lit("logo").alias("kind"),
             F.coalesce("alt", blank_to_null(F.col("src")), F.lit("logo image")).alias("text"), "position", F.lit("logos").alias("section"),
         )
@@ -217,7 +216,7 @@ class Detectors:
         t = t.withColumn("kind", F.col("h.kind")).withColumn("m", F.lower("h.m")).withColumn("k", F.col("h.k"))
         t = first_wins(t, ["page_id", "kind", "m"], ["rank", "seq", "k"])
         words = t.select(
-            "page_id", "rank", "seq", "k", cut(F.col("text"), 240).alias("text"), "kind",
+            "page_id", "rank", "seq", "k", "text", "kind",
             F.col("h.concrete").alias("concrete_deadline_visible"), F.when(F.col("kind") == "countdown_timer", F.col("h.m")).alias("timer_value"), "position",
         )
         return timers.unionByName(words)
@@ -313,7 +312,7 @@ class Detectors:
         listy = (F.length("r_text") < 240) | F.col("r_text").rlike("^[-•*]") | F.col("r_text").rlike(r"^\d+[).]")
         some = F.max(listy).over(W.partitionBy("page_id", "h_seq"))
         items = near.withColumn("listy", listy).withColumn("some", some).filter("listy OR NOT some")
-        items = cap(items, 12, ["r_seq"], ["page_id", "h_seq"]).select(
+        items = items.select(
             "page_id", "h_seq", F.col("r_seq").alias("seq"), "heading", F.col("r_text").alias("text"), F.lit("benefit_or_takeaway").alias("kind"), F.col("r_position").alias("position")
         )
         alone = h.join(items.select("page_id", "h_seq").distinct(), ["page_id", "h_seq"], "left_anti").select(
@@ -326,21 +325,21 @@ class Detectors:
         """Objection topics; a plain price mention is dropped where the price objection stands."""
         t = self.copy.select("*", F.explode(tag_kinds("text", C.OBJECTION_TOPICS)).alias("h")).select(
             "page_id", "rank", "seq", F.col("h.k").alias("k"), F.col("h.kind").alias("topic"), "text", "position"
-        ).withColumn("key", cut(F.col("text"), 60))
+        ).withColumn("key", F.col("text"))
         t = first_wins(t, ["page_id", "topic", "key"], ["rank", "seq", "k"])
         # The price topic is tested first on every block, so an earlier or same block decides.
         priced = F.min(F.when(F.col("topic") == "price", F.struct("rank", "seq"))).over(W.partitionBy("page_id", "key"))
         t = t.withColumn("priced", priced)
         earlier = F.coalesce(F.col("priced") <= F.struct("rank", "seq"), F.lit(False))
         return t.filter((F.col("topic") != "price_mention") | ~earlier).select(
-            "page_id", "rank", "seq", "k", "topic", cut(F.col("text"), 400).alias("text"), "position"
+            "page_id", "rank", "seq", "k", "topic", "text", "position"
         )
 
     @table
     def bonuses(self) -> DataFrame:
         t = self.copy.withColumn("kind", chain([(has("text", p), k) for k, p in C.BONUS_KINDS])).filter("kind IS NOT NULL")
-        t = t.withColumn("key", cut(F.col("text"), 80))
-        return first_wins(t, ["page_id", "key"], ["rank", "seq"]).select("page_id", "rank", "seq", cut(F.col("text"), 400).alias("text"), "kind", "position")
+        t = t.withColumn("key", F.col("text"))
+        return first_wins(t, ["page_id", "key"], ["rank", "seq"]).select("page_id", "rank", "seq", "text", "kind", "position")
 
     # ---------------------------------------------------------------- sentences: guarantees, deadlines
 
@@ -354,11 +353,11 @@ class Detectors:
 
     @table
     def guarantees(self) -> DataFrame:
-        """Guarantee statements, the first 20 distinct sentences of a page."""
+        """Guarantee statements, each sentence of a page once."""
         words = "(?i)money|refund|guarantee|satisfaction|love it or|free trial|try |no credit card|risk|cancel any"
         t = self.sentences.filter(F.col("sentence").rlike(words)).withColumn("kind", C.guarantee("sentence")).filter("kind IS NOT NULL")
         t = first_wins(t.withColumn("k", F.lower("sentence")), ["page_id", "k"], ["rank", "seq", "i"])
-        return cap(t, 20, ["rank", "seq", "i"]).select(
+        return t.select(
             "page_id", "rank", "seq", "i", C.clamp("sentence").alias("text"), "kind", ext("sentence", C.DURATION).alias("duration"), "position"
         )
 
@@ -366,7 +365,7 @@ class Detectors:
     def deadlines(self) -> DataFrame:
         t = self.sentences.filter(has("sentence", C.CLOSING_VERB) & has("sentence", C.DATE_TEXT))
         t = first_wins(t.withColumn("k", F.lower("sentence")), ["page_id", "k"], ["rank", "seq", "i"])
-        return cap(t, 15, ["rank", "seq", "i"]).select(
+        return t.select(
             "page_id", "rank", "seq", "i", C.clamp("sentence").alias("text"), ext("sentence", C.DATE_TEXT).alias("date_text"),
         )
 
@@ -374,7 +373,7 @@ class Detectors:
     def scarcity(self) -> DataFrame:
         t = self.sentences.withColumn("kind", C.scarcity_kind("sentence")).filter("kind IS NOT NULL")
         t = first_wins(t.withColumn("k", F.lower("sentence")), ["page_id", "kind", "k"], ["rank", "seq", "i"])
-        return cap(t, 15, ["rank", "seq", "i"]).select("page_id", "rank", "seq", "i", C.clamp("sentence").alias("text"), "kind")
+        return t.select("page_id", "rank", "seq", "i", C.clamp("sentence").alias("text"), "kind")
 
     # ---------------------------------------------------------------- tracking
 
@@ -432,7 +431,7 @@ class Detectors:
         return out.select(
             "page_id", (hit | (F.size(F.coalesce("yes_no", F.array().cast("array<string>"))) >= 1)).alias("detected"),
             F.when(hit, F.col("product")).alias("product_name"), "price", "original_price", P.discount("visible_text").alias("discount"),
-            "cta_text", "countdown", F.slice("yes_no", 1, 6).alias("yes_no_options"), "decline_link", "evidence",
+            "cta_text", "countdown", F.col("yes_no").alias("yes_no_options"), "decline_link", "evidence",
         )
 
 
@@ -494,7 +493,7 @@ def vendor_rules(spark) -> DataFrame:
 def detect_tracking(scripts: DataFrame, globals_: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """One row per page and vendor: by script address, else inline code, else a global.
 
-    The rule table is a few dozen rows of literals, so it is broadcast.
+    The built-in rules are literals of the plan; a caller's own table is joined without a hint.
     """
     # A default table is part of the expression itself; a custom one is joined.
     if rules is None:
@@ -503,7 +502,7 @@ def detect_tracking(scripts: DataFrame, globals_: DataFrame, rules: DataFrame |
         )
         g = globals_.select("page_id", "name", F.explode(_global_hits()).alias("h")).select("page_id", "name", "h.*")
     else:
-        r = F.broadcast(rules)
+        r = rules
         match = lambda a, b: F.coalesce(F.expr(f"{a} RLIKE {b}"), F.lit(False))
         t = scripts.join(r, match("src", "host_re") | match("host", "host_re") | match("inline_snippet", "inline_re"))
         by = F.when(match("src", "host_re") | match("host", "host_re"), 0).otherwise(1)

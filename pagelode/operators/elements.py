@@ -21,13 +21,6 @@ from pagelode.functions.text import collapse, strip
 from pagelode.operators import markup as M
 from pagelode.operators.staging import table
 
-# How many rows of each collection a page may keep.
-CAPS = {
-    "paragraphs": 1000, "buttons": 800, "links": 1200, "scripts": 600, "inline_snippet": 2000, "images_all": 600,
-    "images": 200, "options": 50, "sections": 60, "timers": 30, "dialogs": 20, "meta_all": 300, "links_rel": 200,
-    "hidden_inputs": 400, "embeds": 400, "broken_images": 40, "visible_text": 100000, "orphan_fields": 40,
-    "monitor": 200,
-}
 NOT_FIELDS = ["hidden", "submit", "button", "image", "reset"]
 
 # Metadata fields read from a page.
@@ -129,16 +122,15 @@ class Document:
 
     @table
     def all_blocks(self) -> DataFrame:
-        """The first 1000 block elements of a page."""
-        kept = M.cap(self.block_elements, CAPS["paragraphs"])
-        return self._placed(self._text(kept)).select(
+        """Every block element of a page."""
+        return self._placed(self._text(self.block_elements)).select(
             "page_id", "seq", "tag", "text", "visible", "position", "y"
         )
 
     @property
     def blocks(self) -> DataFrame:
-        """Copy blocks: the cap comes first, the length filter after it."""
-        return self.all_blocks.filter("length(text) > 1 AND length(text) < 2000").drop("tag")
+        """Copy blocks: blocks that say something."""
+        return self.all_blocks.filter("length(text) > 1").drop("tag")
 
     @cached_property
     def button_like(self) -> DataFrame:
@@ -152,7 +144,7 @@ class Document:
 
     @table
     def buttons(self) -> DataFrame:
-        kept = self._text(M.cap(self.button_like, CAPS["buttons"]))
+        kept = self._text(self.button_like)
         label = F.coalesce(blank_to_null(F.col("text")), M.attr("head", "aria-label"))
         value = F.when(F.col("tag") == "input", M.attr("head", "value")).otherwise(label)
         rows = self._placed(kept).select(
@@ -168,7 +160,7 @@ class Document:
 
     @table
     def links(self) -> DataFrame:
-        kept = self._text(M.cap(self.anchors, CAPS["links"]))
+        kept = self._text(self.anchors)
         rows = self._placed(kept).select(
             "page_id", "seq", "text", M.attr("head", "href").alias("raw_href"), "visible", "position", "in_nav",
             "in_footer", "x", "y",
@@ -197,7 +189,7 @@ class Document:
     @table
     def sections(self) -> DataFrame:
         """Page sections with the text of their first h1-h3."""
-        kept = self._placed(M.cap(self.section_like, CAPS["sections"])).select(
+        kept = self._placed(self.section_like).select(
             "page_id", "seq", "end_seq", "tag", blank_to_null(M.attr("head", "id")).alias("id"), "y", "height"
         )
         h = self.all_headings.filter("level <= 3").select("page_id", F.col("seq").alias("h_seq"), "text")
@@ -210,7 +202,7 @@ class Document:
         )
         first = both.withColumn("n", nxt).filter("end_seq IS NOT NULL").select(
             "page_id", "seq",
-            F.when(F.col("n.seq") < F.col("end_seq"), blank_to_null(F.substring("n.text", 1, 160))).alias("heading"),
+            F.when(F.col("n.seq") < F.col("end_seq"), blank_to_null(F.col("n.text"))).alias("heading"),
         )
         return kept.drop("end_seq").join(first, ["page_id", "seq"], "left").filter("height IS NULL OR height > 40")
 
@@ -218,7 +210,7 @@ class Document:
 
     @table
     def metas(self) -> DataFrame:
-        rows = M.cap(self._pick(F.col("tag") == "meta"), CAPS["meta_all"])
+        rows = self._pick(F.col("tag") == "meta")
         return rows.select(
             "page_id", "seq", *[M.attr("head", a).alias(a.replace("-", "_")) for a in ("name", "property", "http-equiv", "content")]
         )
@@ -236,7 +228,7 @@ class Document:
 
     @table
     def link_rels(self) -> DataFrame:
-        rows = M.cap(self.link_rel_elements, CAPS["links_rel"])
+        rows = self.link_rel_elements
         return rows.select("page_id", "seq", *[M.attr("head", a).alias(a) for a in ("rel", "href", "type")])
 
     @table
@@ -263,14 +255,14 @@ class Document:
 
     @table
     def json_ld(self) -> DataFrame:
-        """Structured-data blocks; a block that does not parse keeps its first 500 characters."""
+        """Structured-data blocks; a block that does not parse keeps its source."""
         rows = self._pick((F.col("tag") == "script") & (txt(M.attr("head", "type")) == "application/ld+json"))
-        body = F.regexp_extract("tok", r"(?is)^<[^>]*>(.*?)(?:</script\s*>)?\z", 1)
+        body = F.regexp_extract("tok", rf"(?is)^(?:{M.TAG}|<[^>]*>)(.*?)(?:</script\s*>)?\z", 1)
         src = F.when(strip(body) == "", F.lit("null")).otherwise(body)
         value = F.try_parse_json(src)
         return rows.select(
             "page_id", "seq", F.when(value.isNotNull(), src).alias("json"), value.isNull().alias("parse_error"),
-            F.when(value.isNull(), F.substring(body, 1, 500)).alias("raw"),
+            F.when(value.isNull(), body).alias("raw"),
         )
 
     # ---------------------------------------------------------------- forms
@@ -305,7 +297,7 @@ class Document:
         )
         box = (F.col("tag") == "input") & typ.isin("checkbox", "radio")
         has_value = F.length(txt(M.attr("head", "value"))) > 0
-        body = F.regexp_extract("tok", r"(?is)^<[^>]*>(.*?)(?:</textarea\s*>)?\z", 1)
+        body = F.regexp_extract("tok", rf"(?is)^(?:{M.TAG}|<[^>]*>)(.*?)(?:</textarea\s*>)?\z", 1)
         out = named.select(
             "page_id", "seq", "form_seq", "orphan", M.attr("head", "name").alias("name"),
             blank_to_null(M.attr("head", "id")).alias("id"), "label", "tag", kind.alias("type"),
@@ -326,16 +318,15 @@ class Document:
         )
 
     def _owned(self, rows: DataFrame) -> DataFrame:
-        """Attach the orphan form: only on pages without any form, its first 40 fields."""
+        """Attach the orphan form: only on pages without any form."""
         has_form = self.form_elements.select("page_id").distinct().withColumn("has_form", F.lit(True))
         rows = rows.join(has_form, "page_id", "left")
-        rows = M.numbered(rows, "n", ["seq"])
         w = W.partitionBy("page_id")
         orphan = F.col("has_form").isNull()
         return rows.withColumn("orphan", orphan).withColumn(
             "form_seq",
-            F.when(orphan & (F.col("n") < CAPS["orphan_fields"]), F.min("seq").over(w)).otherwise(F.col("form_seq")),
-        ).drop("has_form", "n")
+            F.when(orphan, F.min("seq").over(w)).otherwise(F.col("form_seq")),
+        ).drop("has_form")
 
     def _labelled(self, rows: DataFrame) -> DataFrame:
         """Label in order: for=, wrapping label, aria-label, aria-labelledby, text before, placeholder."""
@@ -415,11 +406,9 @@ class Document:
 
     @table
     def field_options(self) -> DataFrame:
-        """Choices kept: 50 of a select, a radio or checkbox group whole."""
+        """Every choice with its place in its field."""
         w = W.partitionBy("page_id", "field_seq").orderBy("o_seq")
-        return self.all_options.withColumn("i", F.row_number().over(w)).filter(
-            (F.col("source") == "group") | (F.col("i") <= CAPS["options"])
-        )
+        return self.all_options.withColumn("i", F.row_number().over(w))
 
     @table
     def forms(self) -> DataFrame:
@@ -495,7 +484,7 @@ class Document:
     @table
     def hidden_inputs(self) -> DataFrame:
         """Hidden inputs by name and owner; only whether a value exists is kept, never the value."""
-        rows = M.cap(self.hidden_input_elements, CAPS["hidden_inputs"])
+        rows = self.hidden_input_elements
         owner = self.form_elements.select("page_id", F.col("seq").alias("form_seq"), quick_selector().alias("form_selector"))
         return rows.select(
             "page_id", "seq", "form_seq", M.attr("head", "name").alias("name"),
@@ -604,7 +593,7 @@ class Document:
 
     @table
     def images_all(self) -> DataFrame:
-        rows = self._placed(M.cap(self.image_elements, CAPS["images_all"]))
+        rows = self._placed(self.image_elements)
         w = F.coalesce("width", ext(M.attr("head", "width"), r"^\d{1,6}").cast("int"))
         h = F.coalesce("height", ext(M.attr("head", "height"), r"^\d{1,6}").cast("int"))
         small = (w < 20) | (h < 20)
@@ -620,8 +609,8 @@ class Document:
 
     @property
     def images(self) -> DataFrame:
-        """Judged images: the first 200 of the page, then the size threshold."""
-        return M.cap(self.images_all, CAPS["images"]).filter("meets_size_threshold")
+        """Judged images: those that are not known to be small."""
+        return self.images_all.filter("meets_size_threshold")
 
     @table
     def iframes(self) -> DataFrame:
@@ -640,7 +629,7 @@ class Document:
 
     @table
     def embeds(self) -> DataFrame:
-        rows = self._placed(M.cap(self.embed_elements, CAPS["embeds"])).join(self.base, "page_id")
+        rows = self._placed(self.embed_elements).join(self.base, "page_id")
         src = F.coalesce(*[blank_to_null(M.attr("head", a)) for a in ("src", "data-src", "data")])
         rows = rows.withColumn("src", src).withColumn("abs", U.resolve_url(F.col("src"), F.col("page_url")))
         same = F.coalesce(U.origin("abs") == U.origin("page_url"), F.lit(False))
@@ -660,9 +649,9 @@ class Document:
 
     @table
     def timers(self) -> DataFrame:
-        rows = self._placed(self._text(M.cap(self.timer_elements, CAPS["timers"])))
+        rows = self._placed(self._text(self.timer_elements))
         return rows.select(
-            "page_id", "seq", F.substring("text", 1, 200).alias("text"), quick_selector().alias("selector"), "y", "visible"
+            "page_id", "seq", "text", quick_selector().alias("selector"), "y", "visible"
         ).filter("text <> ''")
 
     @cached_property
@@ -672,8 +661,8 @@ class Document:
 
     @table
     def dialogs(self) -> DataFrame:
-        rows = self._placed(self._text(M.cap(self.dialog_elements, CAPS["dialogs"])))
-        return rows.select("page_id", "seq", F.substring("text", 1, 500).alias("text"), "visible", M.attr("head", "role").alias("role"))
+        rows = self._placed(self._text(self.dialog_elements))
+        return rows.select("page_id", "seq", "text", "visible", M.attr("head", "role").alias("role"))
 
     @cached_property
     def script_elements(self) -> DataFrame:
@@ -681,15 +670,14 @@ class Document:
 
     @table
     def scripts(self) -> DataFrame:
-        rows = M.cap(self.script_elements, CAPS["scripts"]).join(self.base, "page_id")
+        rows = self.script_elements.join(self.base, "page_id")
         src = M.attr("head", "src")
-        body = F.regexp_extract("tok", r"(?is)^<[^>]*>(.*?)(?:</script\s*>)?\z", 1)
+        body = F.regexp_extract("tok", rf"(?is)^(?:{M.TAG}|<[^>]*>)(.*?)(?:</script\s*>)?\z", 1)
         flat = F.regexp_replace(body, f"{WS}+", " ")
         rows = rows.withColumn("src", src).withColumn("flat", F.when(txt(F.col("src")) == "", flat))
         return rows.select(
             "page_id", "seq", "src", U.host(U.resolve_url(blank_to_null(F.col("src")), F.col("page_url"))).alias("host"),
-            blank_to_null(F.substring("flat", 1, CAPS["inline_snippet"])).alias("inline_snippet"),
-            (F.length("flat") <= CAPS["inline_snippet"]).alias("snippet_whole"),
+            blank_to_null(F.col("flat")).alias("inline_snippet"),
         )
 
     @table
@@ -703,11 +691,8 @@ class Document:
 
     @table
     def page_text(self) -> DataFrame:
-        """Visible text, cut at 100000 characters, with its whole length."""
-        cap_at = CAPS["visible_text"]
-        return self.texts.select(
-            "page_id", F.substring("visible_text", 1, cap_at).alias("visible_text"), F.length("visible_text").alias("characters"),
-        )
+        """Visible text with its length."""
+        return self.texts.select("page_id", "visible_text", F.length("visible_text").alias("characters"))
 
     @table
     def page(self) -> DataFrame:

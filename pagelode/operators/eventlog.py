@@ -55,25 +55,20 @@ def failed_requests(events: DataFrame) -> DataFrame:
     """Failures folded by page, URL and status, with occurrences; noise and aborts left out."""
     bad = ((F.col("kind") == "response") & (F.col("status") >= 400)) | (
         (F.col("kind") == "requestfailed") & ~txt(F.col("reason")).rlike("(?i)ERR_ABORTED"))
-    t = events.filter(bad & ~H.is_noise("url")).withColumn("url", U.trim_url("url")).withColumn("status", F.when(F.col("kind") == "response", F.col("status")))
+    t = events.filter(bad & ~H.is_noise("url")).withColumn("status", F.when(F.col("kind") == "response", F.col("status")))
     return t.groupBy("page_id", "url", "status").agg(F.count("*").alias("occurrences"), F.min("ts").alias("first_seen"), F.min_by("reason", "ts").alias("reason"))
 
 
-def capped_failures(folded: DataFrame, limit: int = 200) -> DataFrame:
-    w = W.partitionBy("page_id").orderBy("first_seen", "url", F.asc_nulls_first("status"))
-    return folded.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= limit)
-
-
 def errors(events: DataFrame) -> DataFrame:
     """Console and page errors worth reporting."""
     console = (F.col("kind") == "console") & (txt(F.col("text")) != "") & ~H.is_console_noise("text") & ~F.coalesce(H.is_noise("source"), F.lit(False))
-    return events.filter(console | (F.col("kind") == "pageerror")).withColumn("text", F.substring("text", 1, 500)).withColumn("source", U.trim_url("source"))
+    return events.filter(console | (F.col("kind") == "pageerror"))
 
 
 def party_totals(events: DataFrame, base: DataFrame) -> DataFrame:
     """Per page: errors and failures, how many first-party, and the breakdown by party."""
     e = errors(events).filter("kind = 'console'").join(base, "page_id").select("page_id", H.classify_party("source", "page_url", "text")["party"].alias("party"), F.lit("console").alias("what"))
-    f = capped_failures(failed_requests(events)).join(base, "page_id").select("page_id", H.classify_party("url", "page_url")["party"].alias("party"), F.lit("failed").alias("what"))
+    f = failed_requests(events).join(base, "page_id").select("page_id", H.classify_party("url", "page_url")["party"].alias("party"), F.lit("failed").alias("what"))
     n = e.unionByName(f).groupBy("page_id", "what", "party").agg(F.count("*").alias("n"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("party", "n"))), lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["party"])), ", ")
     g = n.groupBy("page_id", "what").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("party") == "first_party", F.col("n")).otherwise(0)).alias("first"), text.alias("parties"))

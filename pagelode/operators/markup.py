@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from pagelode.functions.base import WS, c
 from pagelode.functions.text import QUOTE_MARKS, collapse, decode_entities
 
-# One token: comment, raw-text element with its body, tag, text run, or a stray '<'.
+# A tag to its end; a '>' inside a quoted value does not end it.
+TAG = r"<[a-zA-Z/](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+# One token: comment, raw-text element with its body, tag (one with unbalanced quotes to the
+# first '>'), text run, or a stray '<'.
 TOKEN_RE = (
     r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
-    r"|<textarea\b.*?(?:</textarea\s*>|\z)|<[a-z/!][^>]*>|[^<]+|<"
+    rf"|<textarea\b.*?(?:</textarea\s*>|\z)|{TAG}|<[a-z/!][^>]*>|[^<]+|<"
 )
 
 # HTML element classes.
@@ -41,14 +44,24 @@ def _so_far():
     return W.partitionBy("page_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
 
 
+def _until(name: str) -> str:
+    """From the start of a tag to the end of its first attribute of that name.
+
+    Other attributes are stepped over whole, so a name inside a quoted value is never found.
+    """
+    here = rf"{name}(?=[\s=/>]|$)"
+    other = rf"(?!{here})[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"
+    return rf"(?is)^<[a-z][^\s/>]*(?:[\s/]+(?:{other})|[\"'=])*[\s/]+{here}"
+
+
 def attr(head: Column | str, name: str) -> Column:
     """Attribute value: double-quoted, single-quoted or bare; NULL when absent."""
-    raw = F.regexp_extract(c(head), rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    raw = F.regexp_extract(c(head), _until(name) + r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
     return F.translate(F.regexp_replace(F.nullif(raw, F.lit("")), "^[\"']|[\"']$", ""), QUOTE_MARKS, "\"'")
 
 
 def has_attr(tag_text: Column | str, name: str) -> Column:
-    return c(tag_text).rlike(rf"(?i)\s{name}(\s|=|/|>)")
+    return c(tag_text).rlike(_until(name))
 
 
 def partition_pages(pages: DataFrame) -> DataFrame:
@@ -87,7 +100,7 @@ def nodes(toks: DataFrame) -> DataFrame:
     substring; `end_seq` is the token that closes it (implied ends for p and option).
     Regions use a running maximum of extents, which tolerates overlap and stray closes.
     """
-    head = F.when(F.col("kind") == "raw", decode_entities(F.regexp_extract("tok", r"(?s)^<[^>]*>", 0), in_tag=True)).when(
+    head = F.when(F.col("kind") == "raw", decode_entities(F.regexp_extract("tok", rf"^(?:{TAG}|<[^>]*>)", 0), in_tag=True)).when(
         F.col("kind") == "open", decode_entities("tok", in_tag=True)
     )
     txt = F.when(F.col("kind") == "text", decode_entities("tok")).otherwise(F.lit(""))

@@ -31,7 +31,7 @@ def analyze_stream(pages: DataFrame, analyze: Callable[[DataFrame], DataFrame],
 def failed_requests_stream(events: DataFrame, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Failures folded by page, URL, status and hour; events later than `delay` are left out."""
     bad = ((F.col("kind") == "response") & (F.col("status") >= 400)) | ((F.col("kind") == "requestfailed") & ~txt(F.col("reason")).rlike("(?i)ERR_ABORTED"))
-    t = events.withWatermark("ts", delay).filter(bad & ~H.is_noise("url")).withColumn("url", U.trim_url("url"))
+    t = events.withWatermark("ts", delay).filter(bad & ~H.is_noise("url"))
     return t.groupBy(F.window("ts", window).alias("w"), "page_id", "url", "status").agg(F.count("*").alias("occurrences"))
 
 
