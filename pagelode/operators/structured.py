@@ -66,13 +66,13 @@ def structured_types(nodes: DataFrame) -> DataFrame:
 
 
 def organization_names(nodes: DataFrame) -> DataFrame:
-    """Names of organisation-like nodes, first ten distinct."""
+    """Names of organisation-like nodes, each once."""
     is_org = F.exists("types", lambda t: t.rlike("(?i)Organization|LocalBusiness|Corporation|WebSite|Brand"))
     name = strip(F.coalesce(F.get_json_object("node", "$.name"), F.get_json_object("node", "$.legalName")))
     t = nodes.filter(is_org).withColumn("name", name).filter("name <> ''")
     t = first_wins(t, ["page_id", "name"], ["seq", "path"])
     w = W.partitionBy("page_id").orderBy("seq", "path")
-    return t.withColumn("i", F.row_number().over(w)).filter("i <= 10").select("page_id", "i", "name")
+    return t.withColumn("i", F.row_number().over(w)).select("page_id", "i", "name")
 
 
 def postal_addresses(nodes: DataFrame) -> DataFrame:
