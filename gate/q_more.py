@@ -886,8 +886,7 @@ _OKS = lst([f"{a}>{b}" for a, bs in _ALLOW.items() for b in bs])
 @register("h16_h17_run_states", f"SELECT event_id, p AS from_state, p IS NULL OR p = event_type OR (p || '>' || event_type) IN {_OKS} AS legal, CAST(floor(epoch_us(ts) / 1000.0) - floor(epoch_us(t0) / 1000.0) AS BIGINT) / 1000 AS elapsed_s FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) p, min(ts) OVER (PARTITION BY user_id) t0 FROM events)")
 def _(spark, d):
     t = EV.run_transitions(events(spark, d), "user_id", "event_type", ["ts", "event_id"], F.date_trunc("day", "ts"), _ALLOW)
-    ms = F.floor(F.unix_micros("ts") / 1000) - F.floor(F.unix_micros(F.min("ts").over(__import__("pyspark").sql.Window.partitionBy("user_id"))) / 1000)
-    return t.select("event_id", "from_state", "legal", (ms / 1000).alias("elapsed_s"))
+    return t.select("event_id", "from_state", "legal", (F.col("elapsed_ms") / 1000).alias("elapsed_s"))
 
 
 @register("h18_new_phrases", "SELECT conv_id, turn FROM (SELECT *, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) b, nullif(regexp_extract(text, '(?i)\\b[a-z]{9,}\\b', 0), '') ph FROM conversations) WHERE ph IS NOT NULL AND NOT contains(lower(b), lower(ph))")

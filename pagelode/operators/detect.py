@@ -15,7 +15,7 @@ from pagelode.functions import hosts as H
 from pagelode.functions import labels as L
 from pagelode.functions import prices as P
 from pagelode.functions import urls as U
-from pagelode.functions.base import blank_to_null, chain, cut, ext, ext_all, has, rx, txt
+from pagelode.functions.base import blank_to_null, chain, ext, ext_all, has, rx, txt
 from pagelode.functions.text import strip
 from pagelode.operators.elements import fold
 from pagelode.operators.markup import first_wins, numbered

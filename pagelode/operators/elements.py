@@ -56,9 +56,9 @@ class Document:
         self.layout = layout or {}
         self.viewport = viewport or {"width": None, "height": None}
 
-    def keep(self) -> "Document":
+    def keep(self, buckets: int | None = None) -> "Document":
         """Stage tables as they are first read: most have several consumers."""
-        self.kept = True
+        self.kept, self.buckets = True, buckets
         return self
 
     @cached_property
@@ -73,6 +73,10 @@ class Document:
     def texts(self) -> DataFrame:
         return M.page_texts(self.nodes)
 
+    @table
+    def text_pieces(self) -> DataFrame:
+        return M.text_pieces(self.texts)
+
     @cached_property
     def base(self) -> DataFrame:
         return M.partition_pages(self.pages).select("page_id", F.col("url").alias("page_url"))
@@ -89,7 +93,7 @@ class Document:
         return df.withColumn("position", fold(F.col("y"), F.col("visible"), self.viewport["height"]))
 
     def _text(self, df: DataFrame) -> DataFrame:
-        return M.with_text(df, self.texts)
+        return M.with_text(df, self.text_pieces)
 
     def _href(self, df: DataFrame, name: str = "href") -> DataFrame:
         """Absolute form of a reference column, the way a browser reports it."""

@@ -82,10 +82,21 @@ def party_rate(events: DataFrame, width: str, slide: str | None = None) -> DataF
     return events.groupBy(w.alias("w"), "party").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "party", "n")
 
 
-def capture_sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
-    """Events of one key grouped by gaps of inactivity."""
-    s = F.session_window("ts", gap)
-    return events.groupBy(key, s.alias("s")).agg(F.count("*").alias("events")).select(key, F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "events")
+def capture_sessions(events: DataFrame, key: str, gap: str, bucket: str = "day") -> DataFrame:
+    """Events of one key grouped by gaps of inactivity.
+
+    Sessions are numbered within time buckets and carried on by offsets, so a busy key is spread
+    over as many tasks as it has buckets. A session ends `gap` after its last event.
+    """
+    pause = F.expr(f"INTERVAL {gap}")
+    t = bucketed_lag(events.select(key, "ts").withColumn("_b0", F.date_trunc(bucket, "ts")), key, ["ts"], F.col("_b0"), "ts", "_before")
+    t = t.withColumn("_new", (F.col("_before").isNull() | (F.col("ts") >= F.col("_before") + pause)).cast("long"))
+    per = t.groupBy(key, "_b0").agg(F.sum("_new").alias("_n"))
+    base = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_b0").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.sum("_new").over(W.partitionBy(key, "_b0").orderBy("ts"))
+    t = t.withColumn("_own", own).join(per.select(key, "_b0", base.alias("_base")), [key, "_b0"])
+    g = t.groupBy(key, (F.col("_base") + F.col("_own")).alias("_s")).agg(F.min("ts").alias("started"), (F.max("ts") + pause).alias("ended"), F.count("*").alias("events"))
+    return g.drop("_s")
 
 
 def milestones(events: DataFrame, key: str, kinds: dict[str, str]) -> DataFrame:
@@ -100,8 +111,9 @@ def run_transitions(events: DataFrame, key: str, state: str, order: list[str], b
     step = F.concat_ws(">", "from_state", state)
     legal = F.col("from_state").isNull() | (F.col("from_state") == F.col(state)) | F.array_contains(F.array(*pairs), step)
     start = events.groupBy(key).agg(F.min("ts").alias("_t0"))
+    millis = lambda t: F.unix_millis(F.col(t).cast("timestamp"))
     note = F.when(F.col("from_state") == F.col(state), F.lit("re-entered"))
-    ms = ((F.col("ts").cast("timestamp").cast("double") - F.col("_t0").cast("timestamp").cast("double")) * 1000).cast("long")
+    ms = millis("ts") - millis("_t0")
     return t.join(start, key).withColumn("legal", legal).withColumn("note", note).withColumn("elapsed_ms", ms).drop("_t0")
 
 

@@ -215,22 +215,33 @@ def list_items(nds: DataFrame) -> DataFrame:
     ).drop("run", "depth", "lkey", "nxt")
 
 
-def with_text(elements: DataFrame, texts: DataFrame, name: str = "text") -> DataFrame:
-    """Attach element text: a substring of the page text, no token join."""
-    sliced = F.expr("substring(full_text, off + 1, end_off - off)")
-    return elements.join(texts.select("page_id", "full_text"), "page_id", "left").withColumn(
-        name, collapse(F.coalesce(sliced, F.lit("")))
-    ).drop("full_text")
+#: Characters of one piece of a page's text.
+PIECE = 4096
 
 
-def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def text_pieces(texts: DataFrame) -> DataFrame:
+    """(page_id, piece, part): the page text in pieces of equal length."""
+    return texts.select("page_id", F.posexplode(F.regexp_extract_all("full_text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("piece", "part"))
 
 
-def cap(df: DataFrame, k: int, order=("seq",), keys=("page_id",)) -> DataFrame:
+def with_text(elements: DataFrame, pieces: DataFrame, name: str = "text") -> DataFrame:
+    """Attach element text, cut from the pieces of the page text that the element touches.
+
+    An element moves its own text and a piece at either end, never the page's whole text.
+    """
+    first, last = F.floor(F.col("off") / PIECE).cast("int"), F.floor(F.greatest(F.col("off"), F.coalesce("end_off", "off") - 1) / PIECE).cast("int")
+    own = F.struct(*elements.columns)
+    spread = elements.select("page_id", "seq", own.alias("own"), first.alias("first"), F.explode(F.sequence(first, last)).alias("piece"))
+    met = spread.join(pieces, ["page_id", "piece"], "left")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "part"))), lambda x: x["part"]), "")
+    whole = met.groupBy("page_id", "seq").agg(F.first("own").alias("own"), F.first("first").alias("first"), text.alias("run"))
+    sliced = F.expr(f"substring(run, own.off - first * {PIECE} + 1, greatest(coalesce(own.end_off, own.off) - own.off, 0))")
+    return whole.select("own.*", collapse(F.coalesce(sliced, F.lit(""))).alias(name))
+
+
+def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def numbered(df: DataFrame, name: str, order, keys=("page_id",)) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pagelode.functions import hosts as H
 from pagelode.functions import urls as U
 from pagelode.functions.base import txt
+from pagelode.operators import staging
 from pagelode.operators.eventlog import ALLOWED
 
 
@@ -20,10 +21,14 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
 
 
 def analyze_stream(pages: DataFrame, analyze: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Run the batch analysis on every arriving batch of pages; a batch is written exactly once."""
+    """Run the batch analysis on every arriving batch of pages; a batch is written exactly once.
+
+    Tables that the analysis stages are dropped when their batch is written.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        analyze(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        with staging.scope(batch.sparkSession):
+            analyze(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
