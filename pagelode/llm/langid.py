@@ -14,14 +14,14 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelode.llm.shared import ship
 
 DIMENSIONS = 8192
-#: Rows a language gives to the training sample, at most.
+#: Rows a language gives to the training sample, about.
 SAMPLE_PER_LANGUAGE = 400
 #: Bytes of a text whose n-grams are counted at once.
 BLOCK = 2 << 20
@@ -111,19 +111,27 @@ def train(texts: list[str], langs: list[str], rounds: int = 150, seed: int = 7)
     return Model(languages, codes, w.astype(np.float64), b.astype(np.float64), trust)
 
 
+def below(hashed: Column, shares: dict, of: str) -> Column:
+    """True for rows whose hash lies below the share of its range that the value of column `of` has in `shares`."""
+    if not shares:
+        return F.lit(False)
+    bound = F.create_map(*(F.lit(x) for k, v in shares.items() for x in (k, min(v, 1.0))))
+    return F.pmod(hashed, F.lit(1 << 30)) < F.element_at(bound, F.col(of)) * (1 << 30)
+
+
 def sample(df: DataFrame, allowed: Column, per: int, text: str, lang: str, doc_id: str) -> DataFrame:
-    """At most `per` rows of each language, chosen by a hash of the id, out of rows with text and language."""
-    rows = df.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id).alias("__at"))
-    chosen = rows.select("lang", "__at").withColumn("__k", F.row_number().over(Window.partitionBy("lang").orderBy("__at"))).filter(F.col("__k") <= per)
-    return rows.join(F.broadcast(chosen.select("lang", "__at").distinct()), ["lang", "__at"]).select("text", "lang")
+    """About `per` rows of each language (all, if fewer), chosen by a hash of id and text, out of rows with text and language."""
+    rows = df.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id, text).alias("__at"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    return rows.filter(below(F.col("__at"), {k: per / n for k, n in counts.items()}, "lang")).select("text", "lang")
 
 
 def fit(df: DataFrame, allowed: Column, per: int = SAMPLE_PER_LANGUAGE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
-    """Learn from at most `per` rows a language among those that `allowed` admits.
+    """Learn from about `per` rows a language among those that `allowed` admits.
 
     No such row: a model that calls everything `und`.
     """
-    rows = sorted((r["text"], r["lang"]) for r in sample(df, allowed, per, text, lang, doc_id).collect())  # bounded by `per` rows a language
+    rows = sorted((r["text"], r["lang"]) for r in sample(df, allowed, per, text, lang, doc_id).collect())  # about `per` rows a language
     return train([r[0] for r in rows], [r[1] for r in rows])
 
 
