@@ -52,15 +52,20 @@ def snapshot(spark, sf_dir) -> Document:
 
 def markup(spark, sf_dir) -> Document:
     """The same pages without geometry; the tokens do not depend on it."""
-    doc = Document(landing_pages(spark, sf_dir))
-    doc.__dict__.update({k: v for k, v in snapshot(spark, sf_dir).__dict__.items() if k in ("nodes", "texts", "base", "tokens")})
-    return doc.keep()
+    one = snapshot(spark, sf_dir)
+    return Document(landing_pages(spark, sf_dir), tables={k: getattr(one, k) for k in ("tokens", "nodes", "texts", "text_pieces", "base")}).keep()
 
 
 def web(spark, sf_dir) -> Document:
     return _kept("web", spark, sf_dir, lambda: Document(web_pages(spark, sf_dir)))
 
 
+def forget() -> None:
+    """Build everything anew from here on."""
+    for kept in (_KEPT, _DET, _SEC):
+        kept.clear()
+
+
 _DET: dict[int, Detectors] = {}
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,10 +51,31 @@ def fold(y: Column, visible: Column, viewport_height: Column | int | None) -> Co
 class Document:
     """Lazily built element tables of a `pages(page_id, url, html)` table."""
 
-    def __init__(self, pages: DataFrame, layout: dict[str, Column] | None = None, viewport: dict | None = None):
+    def __init__(self, pages: DataFrame, layout: dict[str, Column] | None = None, viewport: dict | None = None, tables: dict[str, DataFrame] | None = None):
+        """`tables` are element tables that exist already; they are used instead of being built."""
         self.pages = pages
         self.layout = layout or {}
         self.viewport = viewport or {"width": None, "height": None}
+        self.__dict__.update(tables or {})
+
+    @classmethod
+    def from_tables(cls, spark: SparkSession, tables: dict[str, DataFrame], viewport: dict | None = None) -> "Document":
+        """A document of rendered element tables, as `sources.io.read_snapshot` gives them.
+
+        Names are those of this class (`page`, `all_headings`, `all_blocks`, `buttons`, `links`, ...).
+        Columns that a table lacks are NULL, further ones are dropped, and tables that are not given
+        are empty.
+        """
+        none = cls(spark.createDataFrame([], "page_id long, url string, html string"))
+
+        def shaped(name: str, df: DataFrame) -> DataFrame:
+            return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in getattr(none, name).schema))
+
+        known = {name: shaped(name, df) for name, df in tables.items()}
+        if "page" in known:
+            known["base"] = known["page"].select("page_id", F.col("url").alias("page_url"))
+            known.setdefault("page_text", known["page"].select("page_id", "visible_text", F.length("visible_text").alias("characters")))
+        return cls(none.pages, viewport=viewport, tables=known)
 
     def keep(self, buckets: int | None = None) -> "Document":
         """Stage tables as they are first read: most have several consumers."""

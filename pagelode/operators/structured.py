@@ -11,8 +11,6 @@ from pagelode.functions.labels import field_purpose, is_junk_field
 from pagelode.functions.text import strip
 from pagelode.operators.markup import first_wins
 
-MAX_DEPTH = 12
-
 
 def _children(node: Column) -> Column:
     """Nested objects and arrays of a JSON text, as JSON texts in source order."""
@@ -23,8 +21,21 @@ def _children(node: Column) -> Column:
     return F.coalesce(inner, F.array().cast("array<string>"))
 
 
-def json_tree(doc: Column, depth: int = MAX_DEPTH) -> Column:
-    """array<struct<path, node>> of every object and array in a document, to a bounded depth."""
+def nesting(doc: Column) -> Column:
+    """How deep a JSON text is nested, by its brackets outside strings."""
+    bare = F.regexp_replace(doc, r'"(?:[^"\\]|\\.)*+"', "")
+    step = "struct<d:int,m:int>"
+
+    def count(a: Column, b: Column) -> Column:
+        d = a["d"] + F.when(b.isin("{", "["), 1).otherwise(-1)
+        return F.struct(d.alias("d"), F.greatest(a["m"], d).alias("m")).cast(step)
+
+    seed = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")).cast(step)
+    return F.aggregate(F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), F.lit(0)), seed, count, lambda a: a["m"])
+
+
+def json_tree(doc: Column) -> Column:
+    """array<struct<path, node>> of every object and array in a document, however deep."""
     step = "struct<path:string,node:string>"
     start = F.array(F.struct(F.lit("0").alias("path"), strip(doc).alias("node")).cast(step))
 
@@ -40,7 +51,7 @@ def json_tree(doc: Column, depth: int = MAX_DEPTH) -> Column:
         return let(expand(acc["front"]), lambda nxt: F.struct(F.concat(acc["all"], nxt).alias("all"), nxt.alias("front")))
 
     seed = F.struct(start.alias("all"), start.alias("front"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), seed, level, lambda acc: acc["all"])
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce(nesting(doc), F.lit(1)))), seed, level, lambda acc: acc["all"])
 
 
 def json_nodes(df: DataFrame, col: str) -> DataFrame:
@@ -53,12 +64,6 @@ def json_nodes(df: DataFrame, col: str) -> DataFrame:
     return flat.filter(F.col("node").startswith("{")).withColumn("types", types)
 
 
-def deep_documents(df: DataFrame, col: str) -> DataFrame:
-    """Documents nested deeper than the walk goes; their ledger row must not read complete."""
-    deepest = F.array_max(F.transform(json_tree(F.col(col), MAX_DEPTH + 1), lambda x: F.size(F.split(x["path"], r"\."))))
-    return df.select("page_id", "seq", (deepest > MAX_DEPTH + 1).alias("truncated")).filter("truncated")
-
-
 def structured_types(nodes: DataFrame) -> DataFrame:
     """Distinct @type values of a page, first seen first."""
     t = nodes.select("page_id", "seq", "path", F.posexplode("types").alias("i", "type")).withColumn("type", strip(F.col("type")))

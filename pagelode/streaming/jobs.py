@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pagelode.functions import hosts as H
 from pagelode.functions import urls as U
 from pagelode.functions.base import txt
 from pagelode.operators import staging
-from pagelode.operators.eventlog import ALLOWED
+from pagelode.operators.eventlog import ALLOWED, errors
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
@@ -55,6 +56,38 @@ def session_stream(events: DataFrame, key: str, gap: str, delay: str = "10 minut
     return events.withWatermark("ts", delay).groupBy(s.alias("s"), key).agg(F.count("*").alias("events")).select(key, F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "events")
 
 
+def error_counts_stream(events: DataFrame, width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
+    """Console and page errors per page, kind and time window; every one counts."""
+    w = F.window("ts", width)
+    return errors(events.withWatermark("ts", delay)).groupBy(w.alias("w"), "page_id", "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "page_id", "kind", "n")
+
+
+PHRASE_OUT = "key string, ts timestamp, phrase string"
+PHRASE_STATE = "baseline string"
+
+
+def phrase_progress_stream(captures: DataFrame, pattern: str) -> DataFrame:
+    """Captures(key, ts, text) that show a phrase which the first capture of their key did not show.
+
+    The state of a key is the text of its first capture.
+    """
+
+    def step(key, batches, state: GroupState):
+        baseline = state.get[0] if state.exists else None
+        out = []
+        for ts, text in pd.concat(list(batches)).sort_values("ts")[["ts", "text"]].itertuples(index=False):
+            text = text or ""
+            if baseline is None:
+                baseline = text.lower()
+            found = re.search(pattern, text)
+            if found and found[0].lower() not in baseline:
+                out.append((key[0], ts, found[0]))
+        state.update((baseline,))
+        yield pd.DataFrame(out, columns=["key", "ts", "phrase"])
+
+    return captures.groupBy("key").applyInPandasWithState(step, PHRASE_OUT, PHRASE_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
 RUN_OUT = "run_id string, ts timestamp, from_state string, to_state string, legal boolean, elapsed_ms long"
 RUN_STATE = "state string, started timestamp"
 

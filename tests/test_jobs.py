@@ -145,3 +145,35 @@ def test_analyze_stream(spark, tmp_path):
     q = J.analyze_stream(J.read_stream(spark, str(tmp_path / "pages"), io.PAGES), lambda b: Document(b).headings, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["Hi", "Yo"]
+
+
+def test_error_and_phrase_streams(spark, tmp_path):
+    from pagelode.operators.eventlog import errors
+    from pagelode.streaming import jobs as J
+
+    rows = [(1, "console", "boom", None, "2024-01-01 00:00:10"), (1, "console", "boom", None, "2024-01-01 00:00:20"), (1, "pageerror", "bad", None, "2024-01-01 00:00:30"), (2, "response", "x", None, "2024-01-01 00:00:30")]
+    ev = spark.createDataFrame(rows, "page_id long, kind string, text string, source string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    ev.write.parquet(str(tmp_path / "ev"))
+    J.error_counts_stream(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev"))).writeStream.format("memory").queryName("err").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("err").select("page_id", "kind", "n").collect()) == [(1, "console", 2), (1, "pageerror", 1)]
+    assert errors(ev).count() == 3
+    caps = spark.createDataFrame([("a", "2024-01-01 00:00:01", "Welcome"), ("a", "2024-01-01 00:00:02", "Booked for Friday"), ("b", "2024-01-01 00:00:01", "Booked"), ("b", "2024-01-01 00:00:03", "booked")], "key string, ts string, text string").withColumn("ts", F.col("ts").cast("timestamp"))
+    caps.write.parquet(str(tmp_path / "caps"))
+    J.phrase_progress_stream(spark.readStream.schema(caps.schema).parquet(str(tmp_path / "caps")), "(?i)booked").writeStream.format("memory").queryName("phr").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert [(r["key"], r["phrase"]) for r in spark.table("phr").collect()] == [("a", "Booked")]
+
+
+def test_embedded_forms_and_frames(spark):
+    from pagelode.plans import embedded as E
+
+    ask = '{"title":"Apply now","fields":[{"type":"short_text","title":"Name","ref":"n"},{"type":"email","title":"Email","ref":"e"}]}'
+    pay = spark.createDataFrame([(1, 0, "https://x.typeform.com/to/a", ask), (1, 1, "https://x.typeform.com/to/b", ask.replace("Apply now", "Join").replace("Name", "Nick").replace("Email", "Mail"))], "page_id long, seq int, src string, payload string")
+    forms = E.embedded_forms(pay)
+    assert [(r["form_type"], r["field_count"], r["questions"]) for r in forms.orderBy("seq").collect()] == [("application", 2, ["Name", "Email"]), ("optin", 2, ["Nick", "Mail"])]
+    native = forms.filter("seq = 0")
+    merged = E.merged_forms(native, forms).orderBy("action").collect()
+    assert [(r["action"][-1], r["found"]) for r in merged] == [("a", "declared"), ("b", "embedded")]
+    fr = spark.createDataFrame([(1, "https://x.typeform.com/to/a", False, None), (1, "https://o.example.org", True, None)], "page_id long, src string, inspectable boolean, limitation string")
+    seen = spark.createDataFrame([(1, "https://o.example.org", False, "refused")], "page_id long, src string, inspectable boolean, limitation string")
+    got = {r["src"]: (r["inspectable"], r["limitation"]) for r in E.inspected_frames(fr, seen).collect()}
+    assert got["https://o.example.org"] == (False, "refused") and got["https://x.typeform.com/to/a"][1].startswith("a form")

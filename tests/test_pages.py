@@ -192,3 +192,46 @@ def test_failures_with_long_urls_are_kept_apart(spark):
     rows = [(1, "response", u, 500, None, i) for i, u in enumerate(urls)]
     got = failed_requests(spark.createDataFrame(rows, "page_id long, kind string, url string, status int, reason string, ts long")).collect()
     assert sorted(r["occurrences"] for r in got) == [1, 2]
+
+
+def test_tables_of_a_renderer_are_a_document(rendered, spark):
+    """Element tables go in, the same findings come out."""
+    doc = rendered.doc
+    names = ["page", "all_headings", "all_blocks", "buttons", "links", "forms", "form_fields", "images_all", "videos", "scripts", "iframes", "json_ld"]
+    again = Sections(Detectors(Document.from_tables(spark, {n: getattr(doc, n) for n in names}, doc.viewport)))
+    assert sorted(map(tuple, again.det.pricing.select("page_id", "amount").collect())) == sorted(map(tuple, rendered.det.pricing.select("page_id", "amount").collect()))
+    assert sorted(map(tuple, again.ctas.select("page_id", "text", "kind").collect())) == sorted(map(tuple, rendered.ctas.select("page_id", "text", "kind").collect()))
+    assert again.doc.timers.count() == 0
+
+
+def test_overview(rendered):
+    from pagelode.plans import overview as O
+
+    hero = O.hero(rendered).filter("page_id = 1").first()
+    assert hero["headline"] == "Get 20 new patients every month" and hero["subheadline"] == "A plan for clinic owners" and hero["clarity"] == "clear"
+    assert hero["media"]["kind"] == "video" and hero["primary_cta"]["text"] == "Book your free call"
+    who = O.identity(rendered).filter("page_id = 1").first()
+    assert who["organization_names"] == ["Northpeak Media"] and "1 Elm St" in who["addresses"] and who["social_profiles"][0]["platform"] == "linkedin"
+    assert O.technical(rendered).filter("page_id = 2").first()["https"] is False
+    said = {r["family"]: r["ids"] for r in O.tracking_statements(rendered).filter("page_id = 1 AND found").collect()}
+    assert said == {"Meta Pixel": ["1234567890"]}
+
+
+def test_structured_data_of_any_depth(spark):
+    from pagelode.operators.structured import json_nodes
+
+    deep = '{"a":"[[{{","x":' + '{"b":[' * 15 + '{"@type":"Organization","name":"Deep"}' + "]}" * 15 + "}"
+    n = json_nodes(spark.createDataFrame([(1, 0, deep), (2, 0, "[]")], "page_id int, seq int, json string"), "json")
+    assert n.filter(F.array_contains("types", "Organization")).count() == 1
+
+
+def test_stream_batches_leave_no_tables(spark, pages, tmp_path):
+    from pagelode.streaming.jobs import analyze_stream, read_stream
+
+    before = {t.name for t in spark.catalog.listTables()}
+    for k in range(3):
+        pages.filter(F.col("page_id") == k + 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = read_stream(spark, str(tmp_path / "in"), "page_id long, url string, html string", files_per_batch=1)
+    analyze_stream(stream, lambda b: Document(b).keep().headings.select("page_id", "text"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() >= 3
+    assert {t.name for t in spark.catalog.listTables()} == before
