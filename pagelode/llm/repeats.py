@@ -328,7 +328,8 @@ class Repeats:
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(number)), pa.array(position.astype(np.int64)), pa.array(least.astype(np.int16)), pa.array(most.astype(np.int16)), pa.array(h.view(np.int64))], names=["key", "position", "least", "most", "gram"])
 
         placed = self.scratch.cut(self._texts().select("key", "text").mapInArrow(place, "key binary, position long, least short, most short, gram long"))
-        counts = placed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # written, so that the join below meets two plain exchanges and Spark can split a frequent gram
+        counts = self.scratch.cut(placed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         lists = placed.join(counts, "gram").groupBy("key").agg(F.collect_list(F.struct("position", "least", "most", "gram", (F.col("n") > hot).alias("hot"))).alias("at"))
         work = self.scratch.cut(lists)
         total = work.agg(F.sum(F.size("at")), F.sum(F.size(F.filter("at", lambda x: x["hot"])))).first()
@@ -383,7 +384,7 @@ class Repeats:
                         yield pa.RecordBatch.from_pydict({"key": pa.array([key] * len(own), pa.binary()), "start": pa.array(own, pa.int64()), "window": pa.array([hashlib.md5(data[s : s + length]).digest() for s in own], pa.binary())})
 
         seen = self.scratch.cut(joined.mapInArrow(windows, "key binary, start long, window binary"))
-        again = seen.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        again = self.scratch.cut(seen.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         return spans.union(seen.join(again, "window").select("key", "start", (F.col("start") + length).alias("end")))
 
     def _apply(self, spans: DataFrame) -> DataFrame:
