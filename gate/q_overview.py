@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from gate import duck as D
 from gate.duck import LP, s
-from gate.registry import register, sections
+from gate.registry import register, sections, snapshot
 from pagelode.functions import claims as C
+from pagelode.functions import labels as L
+from pagelode.functions import text as T
 from pagelode.functions import urls as U
+from pagelode.operators import eventlog as EV
+from pagelode.plans import embedded as EM
 from pagelode.plans import overview as O
 from pagelode.plans import rules as R
 
@@ -101,3 +105,62 @@ def _(spark, d):
 def _(spark, d):
     sec = sections(spark, d)
     return O.summary(sec, R.issues(sec))
+
+
+# ---------------------------------------------------------------- wording of blocks and links
+
+
+@register("d02_headings", LP.sql(["hd_all", "hd"], "SELECT page_id, seq, level, \"text\", visible, length(\"text\") AS length, coalesce(position = 'above_fold', false) AS above_fold FROM hd"))
+def _(spark, d):
+    return EM.headings_section(snapshot(spark, d).headings)
+
+
+@register("d01_top_headings", LP.sql(["hd_all", "hd"], "SELECT page_id, count(*) FILTER (WHERE level IN (1, 2)) AS top, count(*) FILTER (WHERE level IN (3, 4, 5, 6)) AS sub FROM hd GROUP BY page_id"))
+def _(spark, d):
+    top, sub = EM.split_headings(snapshot(spark, d).headings)
+    n = lambda df, name: df.groupBy("page_id").agg(F.count(F.lit(1)).alias(name))
+    return n(top, "top").join(n(sub, "sub"), "page_id", "full").fillna(0)
+
+
+@register("h15_placed_proof")
+def _(spark, d):
+    return EM.placed_proof(sections(spark, d))
+
+
+_CHALLENGE = "just a moment|attention required|checking your browser|verify you are human|cf-challenge"
+_DENIED = "access denied|403 forbidden|request blocked"
+
+
+@register("c49_blockers", f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), {s(_CHALLENGE)}) THEN 'anti-bot challenge page detected' WHEN regexp_matches(lower(text), {s(_DENIED)}) THEN 'access denied page detected' END AS blocker FROM documents")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", L.blocker(F.lit(None).cast("string"), F.col("text")).alias("blocker"))
+
+
+@register("c54_list_items", LP.sql(["bl"], f"""SELECT page_id, seq, length(t) BETWEEN 8 AND 120 AND NOT regexp_matches(t, '[.!?]\\s+\\S') AND {D.word_count('t')} <= 20 AS item FROM (SELECT page_id, seq, {D.collapse('"text"')} t FROM bl)"""))
+def _(spark, d):
+    return snapshot(spark, d).blocks.select("page_id", "seq", T.looks_like_item("text").alias("item"))
+
+
+_PLATFORM = "calendly[.]com|cal[.]com|tidycal[.]com|acuityscheduling[.]com|kajabi[.]com|clickfunnels[.]com|kartra[.]com|thrivecart[.]com|samcart[.]com|stripe[.]com|checkout[.]com|hubspot[.]com|typeform[.]com|convertkit[.]com|kit[.]com|activehosted[.]com|gohighlevel[.]com|leadpages[.]co|webinarjam[.]com|stealthseminar[.]com|demio[.]com|zoom[.]us"
+
+
+@register("c65_next_hops", LP.sql(["ln"], f"""SELECT page_id, seq, coalesce(regexp_replace(h, '^www[.]', '') = regexp_replace({D.host('url')}, '^www[.]', '') OR regexp_matches(h, {s('(' + _PLATFORM + ')$')}), false) AS next_hop,
+ regexp_matches("text", '(?i)\\b(apply|book|schedule|register|get access|watch|join|buy|start|get started|save (my )?spot|reserve|claim|enroll|continue|yes|submit|download|unlock)\\b') AS funnel_label
+ FROM (SELECT *, {D.host('href')} h FROM ln)"""))
+def _(spark, d):
+    doc = snapshot(spark, d)
+    t = doc.links.join(doc.base, "page_id")
+    return t.select("page_id", "seq", L.is_next_hop("href", F.regexp_replace(U.host("page_url"), r"^www[.]", "")).alias("next_hop"), L.looks_funnel_cta("text").alias("funnel_label"))
+
+
+@register("c37_claimed_results", LP.sql(["bl"], f"SELECT page_id, seq, trim({D.ext('\"text\"', C.CLAIMED_RESULT, 1)}, ' ') AS result FROM bl WHERE regexp_matches(\"text\", {s(C.CLAIMED_RESULT)})"))
+def _(spark, d):
+    return snapshot(spark, d).blocks.withColumn("result", C.claimed_result("text")).filter("result IS NOT NULL").select("page_id", "seq", "result")
+
+
+@register("n03_error_counts", "SELECT user_id AS page_id, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY ALL")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    kind = F.when(F.col("event_id") % 3 == 0, "pageerror").otherwise("response")
+    log = e.select(F.col("user_id").alias("page_id"), "ts", kind.alias("kind"), F.col("event_type").alias("text"), F.lit(None).cast("string").alias("source"))
+    return EV.errors(log).groupBy("page_id", F.date_trunc("minute", "ts").alias("minute")).agg(F.count(F.lit(1)).alias("n"))
