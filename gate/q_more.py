@@ -596,7 +596,12 @@ def _(spark, d):
     return sections(spark, d).repeated_messages.drop("i")
 
 
-@register("h12_key_messages")
+_KEY = f"""tp AS (SELECT page_id, seq, level, y, trim("text", ' ') t FROM hd WHERE level <= 2 AND visible),
+ld AS (SELECT tp.page_id, tp.seq, arg_min(b.t, b.seq) t FROM (SELECT page_id, seq, y, trim("text", ' ') t FROM bl WHERE visible AND length(trim("text", ' ')) >= 41) b ASOF JOIN tp ON b.page_id = tp.page_id AND b.y >= tp.y GROUP BY 1, 2),
+cm AS (SELECT page_id, p, seq, t, {D.norm_msg('t')} k FROM (SELECT page_id, 0 p, seq, t FROM tp WHERE level = 1 UNION ALL SELECT page_id, 1, seq, t FROM tp UNION ALL SELECT page_id, 2, seq, t FROM ld))"""
+
+
+@register("h12_key_messages", LP.sql(["hd_all", "hd", "bl"], """SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY p, seq) - 1 AS INTEGER) AS i, t AS text FROM (SELECT * FROM cm WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY page_id, k ORDER BY p, seq) = 1)""", _KEY))
 def _(spark, d):
     return sections(spark, d).key_messages
 
