@@ -13,8 +13,8 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Each round hangs nodes on the smallest neighbour seen, so groups halve in depth; rounds are
     written to the shared folder, and the last one no longer changes anything. Smallest
-    neighbours are found by aggregation and joined back, so a node with many neighbours is
-    combined before the shuffle and its join can be split. Self-loops and repeated edges do no
+    neighbours are found by aggregation, written, and joined back, so a node with many neighbours is
+    combined before the shuffle and Spark can split its join. Self-loops and repeated edges do no
     harm; nulls are left out. No edges: no rows.
     """
     u, v, m = F.col("u"), F.col("v"), F.col("m")
@@ -27,12 +27,12 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     last = mark(e)
     while last[0]:
         both = e.union(e.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = scratch.cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(v.alias("u"), m.alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").filter("v != m").select(v.alias("u"), m.alias("v")).union(down.select("u", m.alias("v"))).distinct()
         new = scratch.cut(small)
-        scratch.drop(e)
+        scratch.drop(e, least)
         e, now = new, mark(new)
         if now == last:
             break

@@ -259,5 +259,5 @@ def near_duplicates(df: DataFrame, scratch: Scratch, words: int = 3, radius: int
     named = roots.join(distinct.withColumnRenamed("fp", "node"), "node")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = roots.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
-    ids = distinct.join(members, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    ids = scratch.cut(distinct.join(members, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
     return docs.join(ids, "fp").select("doc_id", "fp", "component_id")
