@@ -138,7 +138,7 @@ def _(spark, d):
     return snapshot(spark, d).iframes.select("page_id", "seq", "src", "title", "visible", "inspectable")
 
 
-@register("b33_embeds")
+@register("b33_embeds", LP.sql([], f"SELECT page_id, seq, tag, coalesce(nullif({attr('src')}, ''), nullif({attr('data-src')}, ''), nullif({attr('data')}, '')) AS src, {attr('title')} AS title, nullif({attr('id')}, '') AS id, NOT hidden AS visible FROM nd WHERE kind IN ('open', 'raw') AND tag IN ('iframe', 'embed', 'object')"))
 def _(spark, d):
     return snapshot(spark, d).embeds.select("page_id", "seq", "tag", "src", "title", "id", "visible")
 
@@ -316,7 +316,8 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(C.emails("text")).alias("i", "email")).select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "email")
 
 
-@register("c41_phones")
+@register("c41_phones", LP.sql(["vt"], f"""SELECT DISTINCT page_id, trim(p, ' ') AS phone FROM (SELECT page_id, unnest(regexp_extract_all(l, {s(C.PHONE)})) p FROM (SELECT page_id, unnest(string_split(visible_text, chr(10))) l FROM vt)
+ WHERE regexp_matches(l, '(?i)\\b(phone|tel|telephone|call us|mobile|whatsapp)\\b')) WHERE length(regexp_replace(p, '[^0-9]', '', 'g')) BETWEEN 7 AND 15"""))
 def _(spark, d):
     return snapshot(spark, d).page.select("page_id", F.explode(C.phones("visible_text")).alias("phone")).distinct()
 
@@ -661,7 +662,16 @@ def _(spark, d):
     return sections(spark, d).proof_totals
 
 
-@register("i16_urgency")
+_URG = f"""dl AS (SELECT page_id, {clip('x', 240)} t FROM (SELECT * FROM se WHERE {has('x', C.CLOSING_VERB)} AND {has('x', C.DATE_TEXT)} QUALIFY row_number() OVER (PARTITION BY page_id, lower(x) ORDER BY rank, seq, i) = 1)),
+sq AS (SELECT page_id, kind, {clip('x', 240)} t FROM (SELECT *, {chain([(has('x', p), k) for k, p in C.SCARCITY_KINDS])} kind FROM se) WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id, kind, lower(x) ORDER BY rank, seq, i) = 1),
+un AS (SELECT lp.page_id, coalesce(a.n, 0) timers, coalesce(a.r, 0) running, coalesce(b.n, 0) deadlines, coalesce(b.r, 0) dated, coalesce(c.n, 0) scarcity, coalesce(c.r, 0) counted FROM lp
+ LEFT JOIN (SELECT page_id, count(*) n, count(*) FILTER (WHERE NOT hidden) r FROM tmx WHERE "text" <> '' AND {has('"text"', C.TIMER_TEXT)} GROUP BY 1) a ON a.page_id = lp.page_id
+ LEFT JOIN (SELECT page_id, count(*) n, count(*) FILTER (WHERE {has('t', C.CONCRETE_DATE)}) r FROM dl GROUP BY 1) b ON b.page_id = lp.page_id
+ LEFT JOIN (SELECT page_id, count(*) n, count(*) FILTER (WHERE kind IN ('limited_spots', 'limited_bonus') AND regexp_matches(t, '\\b[0-9]{{1,4}}\\b')) r FROM sq GROUP BY 1) c ON c.page_id = lp.page_id)"""
+
+
+@register("i16_urgency", LP.sql(["hd_all", "hd", "bl"], """SELECT page_id, running + dated + counted + deadlines + scarcity > 0 AS detected,
+ CASE WHEN running + dated + counted > 0 THEN 'explicit' WHEN deadlines + scarcity > 0 THEN 'language_only' ELSE 'none' END AS evidence_quality, timers, deadlines, scarcity FROM un""", _TB + "," + _SE + "," + _TM + "," + _URG))
 def _(spark, d):
     return sections(spark, d).urgency
 
