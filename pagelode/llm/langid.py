@@ -93,12 +93,16 @@ def train(texts: list[str], langs: list[str], rounds: int = 150, seed: int = 7)
     codes = codewords(len(languages))
     if not languages:
         return Model([], codes, np.zeros((DIMENSIONS, 1)), np.zeros(1), np.ones(1))
-    x = np.stack([features(t) for t in texts]).astype(np.float32)
-    y = codes[np.searchsorted(languages, langs)].astype(np.float32)
-    back = np.random.default_rng(seed).random(len(x)) < 0.2 if len(x) >= 20 else np.zeros(len(x), bool)
+    back = np.random.default_rng(seed).random(len(texts)) < 0.2 if len(texts) >= 20 else np.zeros(len(texts), bool)
+    order = np.argsort(back, kind="stable")  # rows held back come last, so that both parts are views
+    x = np.empty((len(texts), DIMENSIONS), np.float32)
+    for k, i in enumerate(order):
+        x[k] = features(texts[i])
+    y = codes[np.searchsorted(languages, [langs[i] for i in order])].astype(np.float32)
+    taught = int((~back).sum())
     w, b = np.zeros((DIMENSIONS, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
-    xt, yt = x[~back], y[~back]
+    xt, yt = x[:taught], y[:taught]
     for step in range(1, rounds + 1):
         z = xt @ w + b
         g = -yt / (1 + np.exp(np.clip(yt * z, -30, 30))) / len(xt)
@@ -106,7 +110,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 150, seed: int = 7)
             state[k] = 0.9 * state[k] + 0.1 * grad
             state[k + 1] = 0.99 * state[k + 1] + 0.01 * grad**2
             p -= 0.3 * (state[k] / (1 - 0.9**step)) / (np.sqrt(state[k + 1] / (1 - 0.99**step)) + 1e-8)
-    hits = ((x[back] @ w + b) * y[back] > 0).mean(0) if back.any() else np.ones(y.shape[1])
+    hits = ((x[taught:] @ w + b) * y[taught:] > 0).mean(0) if back.any() else np.ones(y.shape[1])
     trust = np.clip(2 * hits - 1, 0.05, 1)
     return Model(languages, codes, w.astype(np.float64), b.astype(np.float64), trust)
 
