@@ -10,6 +10,7 @@ their place up in the plan.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -97,19 +98,33 @@ def cut_lengths(total: int, max_len: int) -> list[int]:
     return ([first] if first else []) + [max_len] * (total // max_len)
 
 
-_ENCODERS: dict[tuple[str, str], tiktoken.Encoding] = {}
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer's JSON file, which the `tokenizers` library recognises inside texts."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    odd = [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    if odd:
+        raise ValueError(f"added tokens that take in their surroundings are not supported: {odd}")
+    return {t["content"]: t["id"] for t in added}
 
 
-def encoder(path: str, pattern: str, ranks) -> tiktoken.Encoding:
+_ENCODERS: dict[tuple, tiktoken.Encoding] = {}
+
+
+def encoder(path: str, pattern: str, ranks, added: dict[str, int]) -> tiktoken.Encoding:
     """This worker's encoder for a broadcast vocabulary."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-    return _ENCODERS[path, pattern]
+    key = (path, pattern, *sorted(added.items()))
+    if key not in _ENCODERS:
+        _ENCODERS[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens=added)
+    return _ENCODERS[key]
 
 
-def pieces(df: DataFrame, path: str, pattern: str, end_id: int, max_len: int, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def pieces(df: DataFrame, path: str, pattern: str, end_id: int, max_len: int, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """Tokenise whole texts, append `end_id`, cut what is longer than `max_len`.
 
+    `added` are tokens beside the rank file that count as one wherever a text holds them; without it
+    such text is tokenised like any other.
+
     Returns doc_id, piece, start, length, ids_crc32 and, on request, the piece's ids as
     little-endian unsigned 32-bit integers. `path` is a rank file of the vocabulary. A null text
     counts as empty and gives one piece that holds `end_id` alone; repeated rows give repeated
@@ -120,12 +135,12 @@ def pieces(df: DataFrame, path: str, pattern: str, end_id: int, max_len: int, te
     ranks = df.sparkSession.sparkContext.broadcast(dict(zip(v.tokens, v.ids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern, ranks).encode_to_numpy
+        encode = encoder(path, pattern, ranks, added or {}).encode_to_numpy
         end = np.array([end_id], "<u4")
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate([encode(x.as_py() or "", disallowed_special=()).astype("<u4", copy=False), end])
+                ids = np.concatenate([encode(x.as_py() or "", allowed_special="all", disallowed_special=()).astype("<u4", copy=False), end])
                 at = 0
                 for k, n in enumerate(cut_lengths(len(ids), max_len)):
                     raw = ids[at : at + n].tobytes()

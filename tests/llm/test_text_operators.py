@@ -15,7 +15,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagelode.llm import bpe, lines, packing, repeats, simhash, similar
+import corpus_pipeline
+from pagelode.llm import bpe, lines, packing, queries, repeats, simhash, similar
 from pagelode.llm.shared import Scratch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -109,6 +110,24 @@ def test_packing_is_gapless_and_whole(spark):
         assert [o for o, _ in own] == np.cumsum([0] + [n for _, n in own])[:-1].tolist() and sum(n for _, n in own) <= 64
 
 
+def test_packing_recognises_added_tokens_in_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, added, end = Tokenizer.from_file(path), packing.added_tokens(path), "<|endoftext|>"
+    assert added == {end: 50256}
+    texts = [f"hello {end} world", end, f"{end}{end}", f"a{end}b", f"  {end}  \n{end}\n", f"it's{end}'s 12{end}34", "<|endoftext", f"<|endoftext{end}|>", None, "plain"]
+    got = {r.doc_id: r for r in packing.pieces(docs(spark, texts), SMALL, PATTERN, 2, 1024, with_ids=True, added=added).collect()}
+    for i, t in enumerate(texts):
+        want = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == want and got[i].length == len(want)
+    assert np.frombuffer(got[0].ids, "<u4").tolist() == [31373, 220, 50256, 995, 2]
+
+
+def test_queries_pack_with_added_tokens(spark, tmp_path):
+    docs(spark, ["hello <|endoftext|> world"]).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(25)}).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.length for r in queries.op2_best_fit_packing(spark, str(tmp_path)).collect()] == [5]
+    assert [r.length for r in corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()] == [5]
+
+
 def plain_fingerprint(text, n):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([" ".join(words)] if words else [])
