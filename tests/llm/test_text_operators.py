@@ -207,6 +207,42 @@ def test_similar_rows_with_equal_or_missing_ids(spark):
     assert sorted((x.doc_id or 0) for x in out) == [0, 1, 2]
 
 
+def plain_similar(texts, least=0.8):
+    """Smallest number reachable over pairs of five-word shingle sets of that similarity, by brute force."""
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split() for t in texts]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("block_bytes", [similar.BLOCK_BYTES, 3000])
+def test_similar_links_by_the_sets_alone(spark, monkeypatch, block_bytes):
+    """Pairs just under and at or over the wanted similarity, which fingerprints do not tell apart, and a chain."""
+    monkeypatch.setattr(similar, "BLOCK_BYTES", block_bytes)
+    r, texts = random.Random(11), []
+    word = lambda: f"w{r.randint(0, 99999)}"
+    for changed in [40] * 25 + [47] * 25 + [36] * 25:  # the tail of 360 shingles: similarities 0.8, 0.77, 0.82
+        w = [word() for _ in range(364)]
+        texts += [" ".join(w), " ".join(w[:-changed] + [word() for _ in range(changed)])]
+    w = [word() for _ in range(300)]
+    texts += [" ".join(w[k : k + 250]) for k in range(0, 50, 10)]
+    got = {x.doc_id: x.component_id for x in similar.groups(docs(spark, texts), Scratch(spark)).collect()}
+    want = plain_similar(texts)
+    assert want[50:100] == list(range(50, 100)) and all(got[i] in (i, want[i]) for i in got)  # no link that the sets do not make
+    assert sum(got[i] != want[i] for i in got) <= 4  # pairs that met in no partition
+
+
 def plain_repeats(texts, length):
     """(removed, spans, kept) of each text, by counting every window."""
     seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
