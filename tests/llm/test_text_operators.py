@@ -243,6 +243,15 @@ def test_similar_links_by_the_sets_alone(spark, monkeypatch, block_bytes):
     assert sum(got[i] != want[i] for i in got) <= 4  # pairs that met in no partition
 
 
+def test_similar_counts_a_repeated_shingle_once(spark):
+    """A row of fillers makes up most shingles of each text, but their sets are apart."""
+    r = random.Random(5)
+    prose = [" ".join(f"w{r.randint(0, 99999)}" for _ in range(60)) for _ in range(40)]
+    texts = [p + " -" * r.randint(200, 400) for p in prose] + [p + " -" * r.randint(900, 999) for p in prose[:20]]
+    got = {x.doc_id: x.component_id for x in similar.groups(docs(spark, texts), Scratch(spark)).collect()}
+    assert [got[i] for i in range(60)] == plain_similar(texts) == [*range(40), *range(20)]
+
+
 def plain_repeats(texts, length):
     """(removed, spans, kept) of each text, by counting every window."""
     seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
