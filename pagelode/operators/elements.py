@@ -19,6 +19,7 @@ from pagelode.functions.base import WS, blank_to_null, ext, has, txt
 from pagelode.functions.labels import field_purpose
 from pagelode.functions.text import collapse, strip
 from pagelode.operators import markup as M
+from pagelode.operators import tree as T
 from pagelode.operators.staging import table
 
 NOT_FIELDS = ["hidden", "submit", "button", "image", "reset"]
@@ -116,6 +117,23 @@ class Document:
     def _text(self, df: DataFrame) -> DataFrame:
         return M.with_text(df, self.text_pieces)
 
+    @table
+    def tree_parts(self) -> DataFrame:
+        """Parent and piece of a path of every element."""
+        return T.parts(T.parents(self.nodes))
+
+    @table
+    def selectors(self) -> DataFrame:
+        """(page_id, seq, selector) of controls, fields, forms and timers: id, name or test id, else a positional path."""
+        kinds = [self.button_like, self.field_elements, self.form_elements, self.timer_elements]
+        rows = [k.select("page_id", "seq", T.quick_selector().alias("quick")) for k in kinds]
+        asked = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).distinct()
+        placed = T.paths(asked.filter("quick IS NULL"), self.tree_parts)
+        return asked.join(placed, ["page_id", "seq"], "left").select("page_id", "seq", F.coalesce("quick", "path").alias("selector"))
+
+    def _selected(self, df: DataFrame) -> DataFrame:
+        return df.join(self.selectors, ["page_id", "seq"], "left")
+
     def _href(self, df: DataFrame, name: str = "href") -> DataFrame:
         """Absolute form of a reference column, the way a browser reports it."""
         raw = F.col(name)
@@ -169,13 +187,13 @@ class Document:
 
     @table
     def buttons(self) -> DataFrame:
-        kept = self._text(self.button_like)
+        kept = self._selected(self._text(self.button_like))
         label = F.coalesce(blank_to_null(F.col("text")), M.attr("head", "aria-label"))
         value = F.when(F.col("tag") == "input", M.attr("head", "value")).otherwise(label)
         rows = self._placed(kept).select(
             "page_id", "seq", collapse(value).alias("text"), "tag", M.attr("head", "type").alias("type"),
             blank_to_null(M.attr("head", "href")).alias("href"), "visible", "position", "x", "y",
-            quick_selector().alias("selector"),
+            "selector",
         )
         return self._href(rows).filter("text <> '' OR href IS NOT NULL")
 
@@ -312,7 +330,7 @@ class Document:
         typ = F.lower(txt(M.attr("head", "type")))
         rows = self.field_elements.filter(~typ.isin(NOT_FIELDS))
         rows = self._owned(rows).filter("form_seq IS NOT NULL")
-        named = self._labelled(rows)
+        named = self._selected(self._labelled(rows))
         kind = F.coalesce(
             blank_to_null(M.attr("head", "type")),
             F.when(F.col("tag") == "select", "select").when(F.col("tag") == "textarea", "textarea").otherwise("text"),
@@ -334,7 +352,7 @@ class Document:
             .when(F.col("tag") == "input", has_value)
             .when(F.col("tag") == "select", F.coalesce("first_option", F.lit("")) != "")
             .otherwise(F.lit(False)).alias("value_present"),
-            quick_selector().alias("selector"),
+            "selector",
         )
         counts = self.field_options.groupBy("page_id", F.col("field_seq").alias("seq")).agg(F.count("*").alias("option_count"))
         out = out.join(counts, ["page_id", "seq"], "left").withColumn("option_count", F.coalesce("option_count", F.lit(0)))
@@ -437,12 +455,12 @@ class Document:
 
     @table
     def forms(self) -> DataFrame:
-        f = self._placed(self.form_elements).join(self._near_heading(), ["page_id", "seq"], "left").join(
+        f = self._selected(self._placed(self.form_elements)).join(self._near_heading(), ["page_id", "seq"], "left").join(
             self._submits().filter("form_seq IS NOT NULL").select("page_id", F.col("form_seq").alias("seq"), "submit_text"),
             ["page_id", "seq"], "left",
         )
         declared = self._href(f.select(
-            "page_id", "seq", quick_selector().alias("selector"), M.attr("head", "name").alias("name"),
+            "page_id", "seq", "selector", M.attr("head", "name").alias("name"),
             blank_to_null(M.attr("head", "id")).alias("id"), F.coalesce(M.attr("head", "action"), F.lit("")).alias("action"),
             F.coalesce(blank_to_null(F.lower(M.attr("head", "method"))), F.lit("get")).alias("method"),
             "visible", "position", "y", "submit_text", "heading_near", "in_modal",
@@ -510,7 +528,7 @@ class Document:
     def hidden_inputs(self) -> DataFrame:
         """Hidden inputs by name and owner; only whether a value exists is kept, never the value."""
         rows = self.hidden_input_elements
-        owner = self.form_elements.select("page_id", F.col("seq").alias("form_seq"), quick_selector().alias("form_selector"))
+        owner = self._selected(self.form_elements).select("page_id", F.col("seq").alias("form_seq"), F.col("selector").alias("form_selector"))
         return rows.select(
             "page_id", "seq", "form_seq", M.attr("head", "name").alias("name"),
             blank_to_null(M.attr("head", "id")).alias("id"),
@@ -674,9 +692,9 @@ class Document:
 
     @table
     def timers(self) -> DataFrame:
-        rows = self._placed(self._text(self.timer_elements))
+        rows = self._selected(self._placed(self._text(self.timer_elements)))
         return rows.select(
-            "page_id", "seq", "text", quick_selector().alias("selector"), "y", "visible"
+            "page_id", "seq", "text", "selector", "y", "visible"
         ).filter("text <> ''")
 
     @cached_property
@@ -732,15 +750,3 @@ class Document:
         ).join(self.page_text, "page_id", "left").join(self.meta_whitelist, "page_id", "left").select(
             "*", vp("width"), vp("height"), vp("scroll_width"), vp("scroll_height")
         ).fillna("", ["title", "visible_text"])
-
-
-def quick_selector() -> Column:
-    """#id, tag[name=], [data-testid=], in that order; NULL when only a path would identify the element."""
-    esc = lambda s: F.regexp_replace(s, r"([^a-zA-Z0-9_\-\x{80}-\x{10ffff}])", r"\\$1")
-    ident, name = blank_to_null(M.attr("head", "id")), blank_to_null(M.attr("head", "name"))
-    test = F.coalesce(blank_to_null(M.attr("head", "data-testid")), blank_to_null(M.attr("head", "data-qa")))
-    return (
-        F.when(ident.isNotNull(), F.concat(F.lit("#"), esc(ident)))
-        .when(name.isNotNull(), F.concat(F.col("tag"), F.lit('[name="'), esc(name), F.lit('"]')))
-        .when(test.isNotNull(), F.concat(F.lit('[data-testid="'), esc(test), F.lit('"]')))
-    )
