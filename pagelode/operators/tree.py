@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelode.functions.base import blank_to_null
+from pagelode.functions.base import blank_to_null, let
 from pagelode.operators import markup as M
 
 #: Elements named in a path, the element itself included.
@@ -30,9 +30,13 @@ def parents(nds: DataFrame) -> DataFrame:
         top = F.try_element_at(acc["open"], F.lit(-1))
         # Ends on the stack only fall, so nothing has to go while the top still reaches further.
         still = F.when(top.isNull() | (top["end_seq"] > e["seq"]), acc["open"]).otherwise(F.filter(acc["open"], lambda x: x["end_seq"] > e["seq"]))
-        around = F.try_element_at(still, F.lit(-1))
-        own = F.struct(e["seq"].alias("seq"), F.least(e["end_seq"], around["end_seq"]).alias("end_seq"))
-        return F.struct(F.concat(still, F.array(own)).alias("open"), F.concat(acc["parents"], F.array(around["seq"])).alias("parents"))
+
+        def push(held: Column) -> Column:
+            around = F.try_element_at(held, F.lit(-1))
+            own = F.struct(e["seq"].alias("seq"), F.least(e["end_seq"], around["end_seq"]).alias("end_seq"))
+            return F.struct(F.concat(held, F.array(own)).alias("open"), F.concat(acc["parents"], F.array(around["seq"])).alias("parents"))
+
+        return let(still, push)
 
     start = F.struct(F.array().cast("array<struct<seq:int,end_seq:int>>").alias("open"), F.array().cast("array<int>").alias("parents"))
     folded = F.aggregate("elements", start, step, lambda acc: acc["parents"])
