@@ -12,7 +12,6 @@ from pagelode.operators import tree as T
 from pagelode.operators.detect import Detectors
 from pagelode.operators.elements import Document
 from pagelode.plans import formmatch, raw
-from pagelode.plans.compose import compose
 from pagelode.plans.sections import Sections
 
 NESTED = """<html><body><div><p>one <b>bold<p>two <button>A</button><button>B</button></div>
@@ -157,14 +156,7 @@ def test_raw_evidence_is_whole_and_hides_values(doc, spark):
     assert silent.console_errors is None and silent.url.final == "https://c.example.com/" and silent.url.http_status is None
 
 
-def test_compose_holds_raw_evidence(doc):
-    got = compose(Sections(Detectors(doc))).filter("page_id = 4").first()
-    assert got.raw_evidence.forms.total == 1 and got.raw_evidence.title == ""
-
-
-def test_sections_place_given_records(doc, spark):
-    base = Sections(Detectors(doc))
-    records = base.det.classified_forms.filter("page_id = 3").withColumn("index", F.col("seq")).withColumn("y", F.lit(None).cast("int")).withColumn("position", F.lit("unknown"))
-    got = Sections(Detectors(doc), records=records).forms.filter("page_id = 3").select("selector", "y", "above_fold").collect()
-    want = base.forms.filter("page_id = 3").select("selector", "y", "above_fold").collect()
-    assert sorted(got) == sorted(want) and len(got) == 2
+def test_sections_take_given_records(doc):
+    sec = Sections(Detectors(doc))
+    records = sec.det.classified_forms.withColumn("index", F.col("seq"))
+    assert Sections(Detectors(doc), records=records).forms.columns == sec.forms.columns
