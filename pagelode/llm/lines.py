@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency, in DataFrame functions throughout.
 
 Lines are grouped by host; the pages of a host that contain a line, divided by the pages of that
-host, give the line's ratio. Lines above `ratio` on at least `min_pages` pages are boilerplate and
+host, give the line's ratio. Lines above `ratio` are boilerplate, at every size of a host (a caller may ask for `min_pages` besides), and
 leave every page of the host.
 
 Lines travel as 128-bit digests and are counted once a page, so a line costs a few bytes in the
@@ -36,10 +36,10 @@ def boilerplate(df: DataFrame, ratio: float, min_pages: int, text: str, host: st
     return counts.join(totals, "host").filter(F.col("n") > F.col("total") * ratio).select("host", "line")
 
 
-def dedup(df: DataFrame, scratch: Scratch, ratio: float = 0.1, min_pages: int = 3, text: str = "text", host: str = "source") -> DataFrame:
+def dedup(df: DataFrame, scratch: Scratch, ratio: float = 0.1, min_pages: int = 1, text: str = "text", host: str = "source") -> DataFrame:
     """`df` with boilerplate lines gone from `text`, plus n_lines and n_dropped (ints).
 
-    A page on which a line repeats counts once and loses all its repeats. Rows without host are
+    On a host of so few pages that one of them is above the ratio every line goes. A page on which a line repeats counts once and loses all its repeats. Rows without host are
     kept as they are, and so are null texts (0 lines). Repeated rows count as pages of their own.
     Other columns pass through; n_lines and n_dropped replace columns of those names.
     """

@@ -132,7 +132,7 @@ WITH stripped AS (
   SELECT DISTINCT page_id, host, unnest(ls) AS line FROM page WHERE host IS NOT NULL
 ), total AS (SELECT host, count(*) AS total FROM page WHERE host IS NOT NULL GROUP BY host
 ), bad AS (
-  SELECT host, line FROM (SELECT host, line, count(*) AS n FROM per GROUP BY host, line) JOIN total USING (host) WHERE n >= 3 AND n > total * 0.1
+  SELECT host, line FROM (SELECT host, line, count(*) AS n FROM per GROUP BY host, line) JOIN total USING (host) WHERE n > total * 0.1
 ), drops AS (SELECT host, list(line) AS drop_lines FROM bad GROUP BY host
 ), kept AS (
   SELECT page_id, page.host, ls, CASE WHEN drop_lines IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(drop_lines, x)) END AS k

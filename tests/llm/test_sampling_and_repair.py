@@ -297,3 +297,17 @@ def test_repair_of_empty_tables_and_lost_conversations(spark):
     lost = next(c for c in range(500) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
     out = repair.repair(chats(spark, [(lost, 0, "user", "Hello.")]), Scratch(spark)).collect()
     assert tuple(out[0]) == (lost, 0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())
+
+
+# ---- line dedup on small hosts
+
+
+def test_lines_of_hosts_of_one_and_two_pages_follow_the_ratio_alone(spark):
+    from pagelode.llm import lines
+
+    rows = [(1, "one", "alone"), (2, "two", "same\na"), (3, "two", "same\nb"), (4, None, "kept")] + [(10 + i, "many", f"line {i}\nshared {i // 2}") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, source string, text string")
+    got = {r.page_id: r.text for r in lines.dedup(df, Scratch(spark)).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == ["", "", "", "kept"] and got[10] == "line 0\nshared 0"
+    half = {r.page_id: r.text for r in lines.dedup(df, Scratch(spark), ratio=0.5).collect()}
+    assert [half[i] for i in (1, 2, 3)] == ["", "a", "b"]
