@@ -127,9 +127,13 @@ def copy_metrics(s: Column | str) -> Column:
     )
 
 
+#: Where a sentence ends: after .!? before a start that is not lower case, and at | or •.
+SENTENCE_END = r"(?<=[.!?])\s+(?=[^a-z])|\s*[|•]\s*"
+
+
 def sentences(s: Column | str) -> Column:
     """Split after .!? before a non-lower-case start, and at | or •."""
-    parts = F.split(collapse(s), r"(?<=[.!?])\s+(?=[^a-z])|\s*[|•]\s*")
+    parts = F.split(collapse(s), SENTENCE_END)
     return F.filter(F.transform(parts, F.trim), lambda p: p != "")
 
 
