@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 from gate.registry import layout
 from pagelode.operators import evidence as V
 from pagelode.operators import tree as T
-from pagelode.operators.detect import Detectors
 from pagelode.operators.elements import Document
 from pagelode.plans import formmatch, raw
-from pagelode.plans.sections import Sections
 
 NESTED = """<html><body><div><p>one <b>bold<p>two <button>A</button><button>B</button></div>
 <div id="box.1"><ul><li><a href="/x">x</a><li><a href="/y">y</a><ul><li><a href="/z">z</a></ul></ul></div>
@@ -154,9 +152,3 @@ def test_raw_evidence_is_whole_and_hides_values(doc, spark):
     assert one.hidden_inputs.total == ledger["hidden_inputs"] and {e.field for e in one.completeness} == set(ledger)
     silent = raw.raw_evidence(doc).filter("page_id = 3").first()
     assert silent.console_errors is None and silent.url.final == "https://c.example.com/" and silent.url.http_status is None
-
-
-def test_sections_take_given_records(doc):
-    sec = Sections(Detectors(doc))
-    records = sec.det.classified_forms.withColumn("index", F.col("seq"))
-    assert Sections(Detectors(doc), records=records).forms.columns == sec.forms.columns
