@@ -19,7 +19,7 @@ from pagelode.functions.base import blank_to_null, chain, ext, ext_all, has, rx,
 from pagelode.functions.text import strip
 from pagelode.operators.elements import fold
 from pagelode.operators.markup import first_wins, numbered
-from pagelode.operators.nearby import nearest_above, range_join
+from pagelode.operators.nearby import nearest_above, range_join, section_bounds
 from pagelode.operators.staging import table
 
 
@@ -304,9 +304,7 @@ class Detectors:
             "page_id", F.col("seq").alias("h_seq"), F.col("text").alias("heading"), F.col("y").alias("h_y"), F.col("level").alias("h_level"),
             F.col("position").alias("h_position"),
         )
-        other = self.doc.headings.select("page_id", F.col("seq").alias("o_seq"), F.col("y").alias("o_y"), F.col("level").alias("o_level"))
-        # First heading in page order that starts lower and ranks at least as high.
-        bound = h.join(other, "page_id").filter("o_y > h_y AND o_level <= h_level").groupBy("page_id", "h_seq").agg(F.min_by("o_y", "o_seq").alias("b"))
+        bound = section_bounds(self.doc.headings.select("page_id", "seq", "level", "y")).select("page_id", F.col("seq").alias("h_seq"), F.col("bound").alias("b"))
         h = h.join(bound, ["page_id", "h_seq"], "left").withColumn("b", F.coalesce("b", F.col("h_y") + 800))
         near = range_join(h.filter("h_y IS NOT NULL"), self._blocks_right().filter("length(r_text) > 12"), F.col("h_y"), F.col("b") - 1, 800)
         listy = (F.length("r_text") < 240) | F.col("r_text").rlike("^[-•*]") | F.col("r_text").rlike(r"^\d+[).]")

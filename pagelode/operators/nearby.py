@@ -40,3 +40,53 @@ def nearest_above(rows: DataFrame, headings: DataFrame, name: str = "heading") -
     w = W.partitionBy("page_id").orderBy("_at", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
     out = both.withColumn(name, F.last("_h", ignorenulls=True).over(w)).filter("_side = 1")
     return out.select("page_id", "seq", "_row.*", name)
+
+
+def section_bounds(headings: DataFrame) -> DataFrame:
+    """(page_id, seq, bound) of every heading with a y: the y of the first heading in page order that starts lower and ranks at least as high.
+
+    `headings` are (page_id, seq, level, y); bound is NULL where no such heading follows. One pass
+    up the page keeps a running minimum per level instead of pairing headings.
+    """
+    h = headings.filter("y IS NOT NULL").withColumn("_rank", F.dense_rank().over(W.partitionBy("page_id").orderBy(F.desc("y"))))
+    lower = W.partitionBy("page_id").orderBy("_rank").rangeBetween(W.unboundedPreceding, -1)
+    first = [F.min(F.when(F.col("level") <= n, F.struct(F.col("seq").alias("o"), F.col("y").alias("at")))).over(lower) for n in range(1, 7)]
+    h = h.withColumn("_first", F.array(*first))
+    return h.select("page_id", "seq", F.get("_first", F.col("level") - 1)["at"].alias("bound"))
+
+
+def nearest_form(controls: DataFrame, forms: DataFrame, reach: int) -> DataFrame:
+    """(page_id, index, form_index) of the form each control belongs to, from its page.
+
+    `controls` are (page_id, index, label, y, submits), `forms` (page_id, index, label, y). Forms with
+    the control's label count anywhere on the page, and for a submitting control those at or above
+    it. The nearest in y wins, then the smaller index; unknown distances come last. A form out of
+    `reach` with another label is no match. An empty or NULL label draws no form from elsewhere on the
+    page, but a control and a form at or above it that both lack one count as alike.
+
+    As-of windows over both sides: down and up the page within one label, down it over all labels.
+    """
+    form = F.struct("y", F.col("index").alias("i"), "label")
+    upward = F.struct("y", (-F.col("index")).alias("i"), "label")
+    known = lambda x: F.when(F.col("y").isNotNull() & F.col("is_form"), x)
+    both = forms.select("page_id", "index", "label", "y", F.lit(False).alias("submits"), F.lit(True).alias("is_form")).unionByName(
+        controls.select("page_id", "index", "label", "y", "submits", F.lit(False).alias("is_form")))
+    alike = W.partitionBy("page_id", "label")
+    to_here = lambda w: w.rangeBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("above", F.max(known(upward)).over(to_here(alike.orderBy("y")))).withColumn("below", F.min(known(form)).over(to_here(alike.orderBy(F.desc("y")))))
+    both = both.withColumn("unplaced", F.min(F.when(F.col("is_form") & F.col("y").isNull(), F.col("index"))).over(alike)).withColumn("any", F.min(F.when(F.col("is_form"), F.col("index"))).over(alike))
+    both = both.withColumn("over", F.max(known(upward)).over(to_here(W.partitionBy("page_id").orderBy("y")))).filter("NOT is_form")
+    named, placed = F.coalesce(F.col("label") != "", F.lit(False)), F.col("y").isNotNull()
+
+    def pick(ok: Column, gap: Column, index: Column, same: Column) -> Column:
+        return F.when(ok & index.isNotNull(), F.struct(gap.isNull().alias("far"), gap.alias("gap"), index.alias("i"), F.coalesce(same, F.lit(False)).alias("same")))
+
+    none, yes = F.lit(None).cast(forms.schema["y"].dataType), F.lit(True)
+    best = F.array_min(F.array_compact(F.array(
+        pick(named & placed, F.col("y") - F.col("above.y"), -F.col("above.i"), yes),
+        pick(named & placed, F.col("below.y") - F.col("y"), F.col("below.i"), yes),
+        pick(named, none, F.when(placed, F.col("unplaced")).otherwise(F.col("any")), yes),
+        pick(F.col("submits") & placed, F.col("y") - F.col("over.y"), -F.col("over.i"), F.coalesce("over.label", F.lit("")) == F.coalesce("label", F.lit(""))),
+    )))
+    found = both.select("page_id", "index", best.alias("b")).filter(F.col("b.same") | (F.col("b.gap") <= reach) | F.col("b.far"))
+    return found.select("page_id", "index", F.col("b.i").alias("form_index"))
