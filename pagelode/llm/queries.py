@@ -54,12 +54,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_transcript():
-    """A turn as people paste it: three in four carry a speaker marker of one of several styles, the rest none."""
+    """A turn as people paste it: three in four carry a speaker marker of one of several styles, the rest none; three in four follow a blank line, the rest a line break."""
     role, n = F.col("role"), F.pmod(F.xxhash64("conv_id"), F.lit(4))
     name = F.when(n == 0, F.initcap(role)).when(n == 1, F.expr("map('system', 'Context', 'user', 'Human', 'assistant', 'AI')[role]")).when(n == 2, F.expr("map('system', 'Instructions', 'user', 'Q', 'assistant', 'A')[role]")).otherwise(role)
     text = F.coalesce("text", F.lit(""))
     marked = F.when(n == 3, F.concat(F.lit("<|"), name, F.lit("|>"), text)).otherwise(F.concat(name, F.lit(": "), text))
-    return F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) == 0, text).otherwise(marked)
+    shown = F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) == 0, text).otherwise(F.coalesce(marked, text))
+    return F.concat(F.when(F.pmod(F.xxhash64("turn", "conv_id"), F.lit(4)) == 0, "").otherwise("\n"), shown)
 
 
 @query

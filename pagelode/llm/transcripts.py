@@ -38,6 +38,8 @@ SYMBOLS = len(KINDS) * FLAGS
 CHUNK = 2048
 LONG = 160
 _NAMES = "|".join(sorted((n for ns in MARKERS.values() for n in ns), key=lambda n: (-len(n), n)))
+#: One line that shows something, after the blank lines that stand before it. Possessive, so that it takes one pass.
+UNIT = r"(?:[^\S\n]*+\n)*+[^\S\n]*+\S[^\n]*+"
 PATTERN = rf"(?i)^\s*(?:<\|({_NAMES})\|>|\[({_NAMES})\]:?|({_NAMES})\s?:)\s*"
 
 
@@ -201,8 +203,8 @@ def turns(lines: DataFrame, states: DataFrame) -> DataFrame:
     """(conv, start, role, content, rendered) of every recovered turn; start is its first line.
 
     Turns are numbered by the running count of first lines, carried over chunks as offsets, so a
-    long transcript is never in one task. The marker of the first line is taken off, and a turn is
-    rendered as <|role|>, its lines and <|end|>.
+    long transcript is never in one task. The marker of the first line is taken off with the blank
+    lines before it; blank lines inside a turn stay. A turn is rendered as <|role|>, its lines and <|end|>.
     """
     rows = lines.join(states.select("conv", "pos", "state"), ["conv", "pos"])
     first = (F.col("state") % 2 == 0).cast("long")
@@ -210,34 +212,41 @@ def turns(lines: DataFrame, states: DataFrame) -> DataFrame:
     per = rows.groupBy("conv", "chunk").agg(F.sum(first).alias("n"))
     before = per.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = rows.withColumn("own", F.sum(first).over(w)).join(before.select("conv", "chunk", "base"), ["conv", "chunk"]).withColumn("turn", F.col("base") + F.col("own") - 1)
-    text = F.when(first == 1, F.regexp_replace("line", PATTERN, "")).otherwise(F.col("line"))
+    text = F.concat(F.when(first == 1, F.regexp_replace("line", PATTERN, "")).otherwise(F.concat("lead", "line")), "tail")
     role = F.element_at(F.array(*map(F.lit, ROLES)), (F.floor(F.col("state") / 2) + 1).cast("int"))
     out = numbered.groupBy("conv", "turn").agg(F.min("pos").alias("start"), F.first(role).alias("role"), F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))).alias("x"))
-    out = out.withColumn("content", F.array_join(F.transform("x", lambda x: x["t"]), "\n"))
+    out = out.withColumn("content", F.array_join(F.transform("x", lambda x: x["t"]), ""))
     return out.select("conv", "turn", "start", "role", "content", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("content"), F.lit("\n<|end|>")).alias("rendered"))
 
 
 def lines_of(df: DataFrame, text: str = "text", order: str = "turn", conv: str = "conv_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Lines of transcripts given in pieces (conv, order, text): conv, chunk, pos, line, blank_before, piece and carried columns.
 
-    Blank lines separate and are not lines themselves. Null texts count as empty; pieces that tie in
-    `order` follow their text. Positions are counted with offsets per block of pieces, so a long
-    transcript is spread over tasks. Rows with a null conversation or order are left out.
+    Blank lines are not lines themselves: `lead` holds the line breaks and blank lines before a line
+    and `tail` the white space after the last line of a piece, so a turn's content is its text to
+    the character. `blank_before` is read from the text alone. Pieces follow each other after one
+    line break, and pieces without a visible character have no line. Null texts count as empty;
+    pieces that tie in `order` follow their text. Positions are counted with offsets per block of
+    pieces, so a long transcript is spread over tasks. Rows with a null conversation or order are left out.
     """
     width = CHUNK
     pieces = df.filter(F.col(conv).isNotNull() & F.col(order).isNotNull()).select(F.col(conv).cast("long").alias("conv"), F.col(order).cast("long").alias("piece"), F.coalesce(F.col(text), F.lit("")).alias("t"), *carry).withColumn("block", F.floor(F.col("piece") / width))
-    split = F.split("t", "\n")
-    full = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("line"), ((i > 0) & (F.trim(F.get(split, i - 1)) == "")).alias("gap"))), lambda x: F.trim(x["line"]) != "")
-    pieces = pieces.withColumn("ls", full).withColumn("n", F.size("ls"))
+    body = F.rtrim("t", F.lit(" \t\n\x0b\f\r"))
+    pieces = pieces.withColumn("ls", F.regexp_extract_all(body, F.lit(UNIT), F.lit(0))).withColumn("n", F.size("ls")).withColumn("rest", F.expr("substring(t, length(array_join(ls, '')) + 1)"))
     per = pieces.groupBy("conv", "block").agg(F.sum("n").alias("total"))
     base = per.withColumn("base", F.coalesce(F.sum("total").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("conv", "block").orderBy("piece", F.xxhash64("t"), "t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = pieces.withColumn("ahead", ahead).join(base, ["conv", "block"]).select("conv", "piece", "ahead", "base", *carry, F.posexplode("ls").alias("k", "x"))
+    placed = pieces.withColumn("ahead", ahead).join(base, ["conv", "block"]).select("conv", "piece", "ahead", "base", "n", "rest", *carry, F.posexplode("ls").alias("k", "x"))
     pos = F.col("base") + F.col("ahead") + F.col("k")
-    return placed.select("conv", pos.alias("pos"), F.floor(pos / width).alias("chunk"), F.col("x.line").alias("line"), (F.col("x.gap") | ((F.col("k") == 0) & (F.col("piece") > 0))).alias("blank_before"), "piece", (F.col("k") == 0).alias("opens"), *carry)
+    line = F.substring_index("x", "\n", -1)
+    placed = placed.withColumn("pos", pos).withColumn("line", line).withColumn("lead", F.expr("concat(IF(k = 0, '\n', ''), left(x, length(x) - length(line)))"))
+    blank = F.length(F.regexp_replace("lead", "[^\n]", "")) > 1
+    tail = F.when(F.col("k") == F.col("n") - 1, F.col("rest")).otherwise("")
+    return placed.select("conv", "pos", F.floor(F.col("pos") / width).alias("chunk"), "line", "lead", tail.alias("tail"), blank.alias("blank_before"), "piece", (F.col("k") == 0).alias("opens"), *carry)
+
 
 
 def parse(lines: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """Recover the turns of transcripts (lines as `lines_of` gives them)."""
-    seen = scratch.cut(symbols(lines).select("conv", "chunk", "pos", "line", "symbol"))
+    seen = scratch.cut(symbols(lines).select("conv", "chunk", "pos", "line", "lead", "tail", "symbol"))
     return turns(seen, decode(seen, model, scratch))

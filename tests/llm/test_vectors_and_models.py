@@ -142,7 +142,7 @@ def test_transcripts_get_their_roles_back(spark, monkeypatch, chunk):
         for t in range(9):
             role = "user" if t % 2 == 0 else "assistant"
             body = "Short one?" if role == "user" else "A long answer " * 14 + "\nmore of it"
-            rows.append((c, t, role, body if (c + t) % 4 == 0 else f"{'Q' if role == 'user' else 'A'}: {body}"))
+            rows.append((c, t, role, "\n" + (body if (c + t) % 4 == 0 else f"{'Q' if role == 'user' else 'A'}: {body}")))
     rows += [(99, 0, "user", None), (99, 1, "user", ""), (None, 1, "user", "lost"), (98, 0, "user", "Human: hi")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     scratch = Scratch(spark)
@@ -156,6 +156,28 @@ def test_transcripts_get_their_roles_back(spark, monkeypatch, chunk):
     assert transcripts.lines_of(df.filter("1 = 0")).count() == 0
 
 
+def test_turns_keep_blank_lines(spark):
+    bodies = ["one\n\n\ntwo\n \t\n    code\n\nend", "just this", "ends in blanks  \n\n \n", "x\r\n\r\ny", "  \n ", "é\n\n漢字\n"]
+    names = ["Human", "AI"]
+    rows = [(c, t, names[t % 2], "\n" * ((c + t) % 3) + f"{names[t % 2]}: {bodies[(c + t) % len(bodies)]}") for c in range(12) for t in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, name string, text string")
+    scratch = Scratch(spark)
+    seen = scratch.cut(transcripts.symbols(transcripts.lines_of(df, carry=("name",))))
+    state = F.expr("2 * array_position(array('Human', 'AI'), name) + IF(opens, 0, 1)").cast("int")
+    got = transcripts.parse(seen, transcripts.estimate(transcripts.counted(seen.withColumn("state", state))), scratch).collect()
+    want = {(c, t): bodies[(c + t) % len(bodies)] for c in range(12) for t in range(6)}
+    # A marker with nothing visible after it takes no white space along.
+    assert {(g.conv, g.turn): g.content for g in got} == {k: v if v.strip() else " " + v for k, v in want.items()}
+    assert {g.role for g in got if g.turn % 2} == {"assistant"} and len(got) == len(rows)
+
+
+def test_many_blank_lines_take_one_pass(spark):
+    text = "a" + "\n" * 200000 + "b\n" * 100000 + " \n" * 200000
+    df = spark.createDataFrame([(1, 0, text)], "conv_id long, turn long, text string")
+    got = transcripts.lines_of(df).agg(F.count("*").alias("n"), F.sum(F.length("lead") + F.length("line") + F.length("tail")).alias("m"), F.count_if("blank_before").alias("gaps")).first()
+    assert (got.n, got.m, got.gaps) == (100001, len(text) + 1, 1)
+
+
 SAMPLES = {"en": "the cat and the dog went with that other one over there", "de": "der hund und die katze gingen mit dem anderen über straße", "fr": "le chat et le chien sont allés avec les autres près d'ici", "es": "el gato y el perro fueron con los otros por la calle allí"}
 
 
