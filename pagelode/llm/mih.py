@@ -8,14 +8,14 @@ within r; the floats of those are then ranked exactly. The radius is calibrated
 smallest that covers the wanted share of true neighbours there, which are farther away than those
 in the whole table. A query that finds too few widens its radius until it has enough.
 
-Equal vectors are one entry of the index with their smallest ids. The index is dealt into shards,
-and blocks of queries meet every shard; each pair of a shard and a query block is one task's work
-and yields the best few per query.
+Equal vectors are one entry of the index with their smallest ids. Vectors of each length have a
+rotation, a radius and an index of their own. An index is dealt into shards, and blocks of queries of
+its length meet every shard; each pair of a shard and a query block is one task's work and yields the
+best few per query.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pagelode.llm.shared import Scratch
 from pagelode.llm.simhash import ball
-from pagelode.llm.vectors import block, main_dimension, usable
+from pagelode.llm.vectors import block, lengths, usable
 
 BITS, PARTS = 64, 4
 WIDTH = BITS // PARTS
@@ -105,38 +105,38 @@ class Index:
         return found[np.bitwise_count(self.codes[found] ^ np.uint64(code)) <= radius]
 
 
-def search(df: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", coder: Coder | None = None) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", coders: dict[int, Coder] | None = None) -> DataFrame:
     """The k nearest rows of `df` that each row of `queries` finds: query_id, rank, vec_id, score.
 
     Both frames have ids and vectors; a row with the query's own id is no candidate. Nearness is
     Euclidean distance in double precision, ties go to the smaller id. Rows whose vectors are null,
-    zero, not finite throughout, or of another length than most, take no part. Repeated rows of one
-    id count once as candidates and once as queries for each different vector. All columns but
-    these two are left alone.
+    zero or not finite throughout take no part, nor do rows with a null id; a query's candidates are
+    the vectors of its own length. Repeated rows of one id count once as candidates and once as
+    queries for each different vector. All columns but these two are left alone. `coders` may give
+    rotation and radius of a length; those of the others are learned.
     """
-    both = [f.filter(usable(F.col(vector))).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).distinct() for f in (df, queries)]
-    rows = scratch.cut(both[0])
-    dim = main_dimension(rows, "v")
-    if not dim:
-        return scratch.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, asked = rows.filter(F.size("v") == dim), scratch.cut(both[1].filter(F.size("v") == dim))
-    if coder is None:
-        picked = rows.select("v").orderBy(F.xxhash64("id", "v")).limit(SAMPLE).collect()
-        coder = learn(np.array([r["v"] for r in picked]).reshape(-1, dim), k)
+    ok = usable(F.col(vector)) & F.col(vec_id).isNotNull()
+    both = [f.filter(ok).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).distinct().withColumn("dim", F.size("v")) for f in (df, queries)]
+    rows, asked = (scratch.cut(f) for f in both)
+    coders = dict(coders or {})
+    for dim in sorted(set(lengths(rows, "v")) - set(coders)):
+        picked = rows.filter(F.col("dim") == dim).select("v").orderBy(F.xxhash64("id", "v")).limit(SAMPLE).collect()
+        coders[dim] = learn(np.array([r["v"] for r in picked]).reshape(-1, dim), k)
     # of equal vectors only the k + 1 smallest ids can be among a query's k nearest
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
-    entries = scratch.cut(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    shards = max(1, -(-entries.count() // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    cell = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = entries.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).withColumn("block", cell(blocks))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", cell(shards))
-    shared = scratch.spark.sparkContext.broadcast(coder)
+    entries = scratch.cut(first.groupBy("dim", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    pieces = lambda f, size, name: f.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    cells = scratch.cut(pieces(entries, SHARD_ROWS, "shards").join(pieces(asked, QUERY_ROWS, "blocks"), "dim"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = entries.join(cells, "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int")).withColumn("block", every("blocks")).drop("shards", "blocks")
+    right = asked.join(scratch.cut(cells), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("shard", every("shards")).drop("shards", "blocks")
+    shared = scratch.spark.sparkContext.broadcast(coders)
 
     def meet(entries: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
         if entries.num_rows and asked.num_rows:
-            c = shared.value
+            dim = entries["dim"][0].as_py()
+            c = shared.value[dim]
             x, q = block(entries["v"], dim), block(asked["v"], dim)
             ids, index = entries["ids"].to_pylist(), Index(c.codes(x))
             members = np.array([len(i) for i in ids])
@@ -160,7 +160,7 @@ def search(df: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 10, vec
                         out.append((own, i, s))
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    found = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -9,7 +9,8 @@ makes a link.
 
 Links needed to connect a group come out of each subset bucket, not all its pairs; how many links
 each vector has is counted within the connected groups, block by block. Large buckets and groups
-are cut into blocks, and every pair of blocks is work of its own.
+are cut into blocks, and every pair of blocks is work of its own. Vectors of each length have
+rotations of their own and meet only each other.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagelode.llm.components import connected
 from pagelode.llm.shared import Scratch, partitions_for
-from pagelode.llm.vectors import block, main_dimension, usable
+from pagelode.llm.vectors import block, by_length, lengths, usable
 
 ROTATIONS = 4
 #: Width of the confidence bounds in units of the estimate's error scale.
@@ -110,9 +111,7 @@ class Near:
         keyed = valid.withColumn("key", self.key(F.col("label"), F.col("v")))
         copies = keyed.groupBy("key").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
         self.distinct = scratch.cut(copies.withColumn("node", F.monotonically_increasing_id()))
-        self.dim = main_dimension(self.distinct, "v")
-        largest = self.distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-        self.coder = Coder(self.dim, *plan(self.dim, largest, cosine)) if self.dim else None
+        self.coders = {dim: Coder(dim, *plan(dim, largest, cosine)) for dim, largest in lengths(self.distinct, "v", "label").items()}
 
     @staticmethod
     def key(label: Column, v: Column) -> Column:
@@ -120,24 +119,29 @@ class Near:
         return F.struct(F.xxhash64(label, v).alias("a"), F.xxhash64(F.lit(7), v, label).alias("b"))
 
     def coded(self) -> DataFrame:
-        """node, label, v, copies, code (bits as binary) and factors of every distinct vector."""
-        shared, dim = self.scratch.spark.sparkContext.broadcast(self.coder), self.dim
+        """node, label, v, copies, dim, code (bits as binary) and factors of every distinct vector."""
+        shared = self.scratch.spark.sparkContext.broadcast(self.coders)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = block(b.column(2), dim)
-                unit = x / np.linalg.norm(x, axis=1)[:, None]
-                code = np.packbits(shared.value.signs(unit), axis=1, bitorder="little")
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(list(shared.value.factors(unit)), pa.list_(pa.float64()))], names=["node", "label", "v", "copies", "code", "factors"])
-
-        own = self.distinct.filter(F.size("v") == dim).select("node", "label", "v", "copies")
-        return self.scratch.cut(own.mapInArrow(run, "node long, label string, v array<double>, copies long, code binary, factors array<double>"))
+            for whole in batches:
+                for dim, at in by_length(whole.column(2)):
+                    b, coder = whole.take(pa.array(at)), shared.value[dim]
+                    x = block(b.column(2), dim)
+                    unit = x / np.linalg.norm(x, axis=1)[:, None]
+                    code = np.packbits(coder.signs(unit), axis=1, bitorder="little")
+                    own = [pa.array(np.full(b.num_rows, dim, np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(list(coder.factors(unit)), pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays([*b.columns, *own], names=["node", "label", "v", "copies", "dim", "code", "factors"])
+
+        rows = self.distinct.select("node", "label", "v", "copies")
+        return self.scratch.cut(rows.mapInArrow(run, "node long, label string, v array<double>, copies long, dim int, code binary, factors array<double>"))
 
     def compare(self, rows: DataFrame, total: int, work, schema: str) -> DataFrame:
-        """Run `work(ids, v, code, factors, copies, side)` on every cell; many small cells share a task."""
-        parts, dim, width = partitions_for(total, TASK_ROWS, self.scratch.spark), self.dim, ROTATIONS * self.dim
+        """Run `work(coder, ids, v, code, factors, copies, side, label)` on every cell; many small cells of one length share a task."""
+        parts, shared = partitions_for(total, TASK_ROWS, self.scratch.spark), self.scratch.spark.sparkContext.broadcast(self.coders)
 
         def run(group: pa.Table) -> pa.Table:
+            dim = group["dim"][0].as_py()
+            coder, width = shared.value[dim], ROTATIONS * dim
             cell = group["cell"].to_numpy()
             order = np.argsort(cell, kind="stable")
             group, cell = group.take(pa.array(order)), cell[order]
@@ -151,29 +155,31 @@ class Near:
             out: list[tuple] = []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b - a > 1:
-                    out += work(*(x[a:b] for x in (node, v, code, factors, copies, side, label)))
+                    out += work(coder, *(x[a:b] for x in (node, v, code, factors, copies, side, label)))
             return pa.table([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
-        return rows.withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(parts))).groupBy("part").applyInArrow(run, schema)
+        return rows.withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(parts))).groupBy("dim", "part").applyInArrow(run, schema)
 
     def edges(self, coded: DataFrame) -> DataFrame:
         """Links that connect what is connected within the buckets of equal code bits."""
-        shared, cosine = self.scratch.spark.sparkContext.broadcast(self.coder), self.cosine
+        shared, cosine = self.scratch.spark.sparkContext.broadcast(self.coders), self.cosine
 
         def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = shared.value
-            for b in batches:
-                bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
-                for i, subset in enumerate(c.subsets):
-                    packed = np.packbits(bits[:, subset], axis=1)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.full(b.num_rows, i, np.int32)), pa.array([p.tobytes() for p in packed], pa.binary())], names=["node", "label", "subset", "bits"])
-
-        met = coded.select("node", "code", "label").mapInArrow(bands, "node long, label string, subset int, bits binary")
-        met = self.scratch.cut(met.select("node", F.xxhash64("label", "subset", "bits").alias("bucket")))
+            for whole in batches:
+                dims = whole.column(3).to_numpy()
+                for dim in np.unique(dims):
+                    b = whole.take(pa.array(np.flatnonzero(dims == dim)))
+                    bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
+                    for i, subset in enumerate(shared.value[dim].subsets):
+                        packed = np.packbits(bits[:, subset], axis=1)
+                        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(np.full(b.num_rows, i, np.int32)), pa.array([p.tobytes() for p in packed], pa.binary())], names=["node", "label", "dim", "subset", "bits"])
+
+        met = coded.select("node", "code", "label", "dim").mapInArrow(bands, "node long, label string, dim int, subset int, bits binary")
+        met = self.scratch.cut(met.select("node", F.xxhash64("label", "dim", "subset", "bits").alias("bucket")))
         sizes = self.scratch.cut(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         total = sizes.agg(F.sum("n")).first()[0] or 0
 
-        def connect(node, v, code, factors, copies, side, label) -> list[tuple]:
+        def connect(coder, node, v, code, factors, copies, side, label) -> list[tuple]:
             root = list(range(len(node)))
 
             def find(i: int) -> int:
@@ -183,7 +189,7 @@ class Near:
                 return i
 
             out = []
-            for x, y in shared.value.links(cosine, node, v, code, factors, side, label):
+            for x, y in coder.links(cosine, node, v, code, factors, side, label):
                 for i, j in zip(x.tolist(), y.tolist()):
                     if (p := find(i)) != (q := find(j)):
                         root[q] = p
@@ -194,13 +200,13 @@ class Near:
 
     def counts(self, coded: DataFrame, roots: DataFrame) -> DataFrame:
         """(node, n): links of every vector of a connected group, copies included."""
-        shared, cosine = self.scratch.spark.sparkContext.broadcast(self.coder), self.cosine
+        cosine = self.cosine
         sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
         total = roots.count()
 
-        def count(node, v, code, factors, copies, side, label) -> list[tuple]:
+        def count(coder, node, v, code, factors, copies, side, label) -> list[tuple]:
             n = np.zeros(len(node), np.int64)
-            for x, y in shared.value.links(cosine, node, v, code, factors, side, label):
+            for x, y in coder.links(cosine, node, v, code, factors, side, label):
                 np.add.at(n, x, copies[y])
                 np.add.at(n, y, copies[x])
             return [(int(a), int(b)) for a, b in zip(node, n) if b]
@@ -211,7 +217,7 @@ class Near:
     def groups(self) -> DataFrame:
         """key, n_links and component_id (smallest id reachable) of every distinct vector with its label."""
         base = self.distinct.select("node", "key", "first_id", "copies")
-        if not self.dim:
+        if not self.coders:
             return base.select("key", F.lit(0).cast("long").alias("n_links"), F.col("first_id").alias("component_id"))
         coded = self.coded()
         roots = self.scratch.cut(connected(self.scratch.cut(self.edges(coded)), self.scratch))
@@ -225,8 +231,8 @@ def near_duplicates(df: DataFrame, scratch: Scratch, cosine: float = 0.93, vec_i
     """vec_id, n_links, component_id and kept (vec_id = component_id), one row for every row of `df`.
 
     Vectors that are null, zero or not finite throughout, and rows with a null label, link with
-    nothing; vectors of another length than most link with their exact copies only. Rows that
-    repeat id and vector count as further vectors. An empty table gives no rows.
+    nothing; vectors link with those of their own length only. Rows that repeat id and vector count as
+    further vectors, and a null vec_id never is the smallest of its group. An empty table gives no rows.
     """
     near = Near(df, scratch, cosine, vec_id, vector, label)
     v = F.col(vector)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -40,7 +41,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
-            if not sc.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         self.spark = spark

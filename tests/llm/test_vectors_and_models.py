@@ -106,6 +106,51 @@ def test_near_vectors_of_an_empty_table(spark):
     assert rabitq.near_duplicates(vectors(spark, [(1, None, 1), (2, [0.0], None)]), Scratch(spark)).filter("n_links = 0 AND kept").count() == 2
 
 
+def lengths_table(spark, seed):
+    """Vectors of three lengths, some near each other, under columns whose names the operators use themselves."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for dim, n in ((16, 120), (5, 60), (3, 1)):
+        base = r.normal(size=(n // 3 + 1, dim))
+        for i in range(n):
+            v = (base[i % len(base)] + 0.05 * r.normal(size=dim)).astype(np.float32)
+            rows.append((len(rows), v.tolist(), i % 2, 7, -1, "q", 0))
+    rows += [(None, rows[3][1], 1, 7, -1, "q", 0)]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, dim int, node int, key string, shard int")
+
+
+def test_search_takes_vectors_of_every_length(spark):
+    rows, df = lengths_table(spark, 11)
+    got = mih.search(df, df.filter("vec_id % 10 = 0"), Scratch(spark), 4).collect()
+    x = {i: np.array(v, float) for i, v, *_ in rows if i is not None}
+    hits = total = 0
+    for q in range(0, 181, 10):
+        near = sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), i) for i in x if i != q and len(x[i]) == len(x[q]))[:4]
+        own = sorted((g.rank, g.vec_id, g.score) for g in got if g.query_id == q)
+        assert len(own) == len(near) and all(len(x[i]) == len(x[q]) for _, i, _ in own)
+        assert all(abs(s - np.sqrt(((x[i] - x[q]) ** 2).sum())) < 1e-12 for _, i, s in own)
+        hits += len({i for _, i, _ in own} & {i for _, i in near})
+        total += len(near)
+    assert hits / total >= 0.9
+
+
+def test_near_vectors_of_every_length_link_with_their_own(spark):
+    rows, df = lengths_table(spark, 12)
+    got = {g.vec_id: g for g in rabitq.near_duplicates(df, Scratch(spark)).collect()}
+    x = [(i, np.array(v, np.float32).astype(float), lab) for i, v, lab, *_ in rows]
+    links = [[b for b, (_, w, m) in enumerate(x) if b != a and m == lab and len(w) == len(v) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93] for a, (_, v, lab) in enumerate(x)]
+    assert any(links[a] for a in range(120)) and any(links[a] for a in range(120, 180))
+    for a, (i, _, _) in enumerate(x):
+        seen, todo = {a}, [a]
+        while todo:
+            for b in links[todo.pop()]:
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        smallest = min(x[b][0] for b in seen if x[b][0] is not None)
+        assert (got[i].n_links, got[i].component_id) == (len(links[a]), smallest)
+
+
 def test_estimates_are_unbiased_and_within_the_bounds():
     r = np.random.default_rng(7)
     x, y = r.normal(size=(300, 64)), r.normal(size=(300, 64))
