@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gate import duck as D
 from gate.duck import LP, WEB, attr, chain, clip, collapse, ext, has, hasattr_, lst, rep, s
-from gate.registry import detectors, markup, register, sections, snapshot, web, web_sections
+from gate.registry import detectors, register, sections, snapshot, web, web_sections
 from pagelode.functions import claims as C
 from pagelode.functions import hosts as H
 from pagelode.functions import labels as L
@@ -15,7 +15,6 @@ from pagelode.functions import text as T
 from pagelode.functions import urls as U
 from pagelode.operators import evidence as V
 from pagelode.operators import eventlog as EV
-from pagelode.operators import markup as M
 from pagelode.operators import structured as S
 from pagelode.plans import classify as K
 from pagelode.plans import corpus as CO
@@ -234,15 +233,6 @@ def _(spark, d):
     return t.select("doc_id", F.posexplode(P.price_tokens("text")).alias("i", "amount")).select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "amount", P.currency("amount").alias("currency"))
 
 
-@register("c23_parse_amount", "SELECT o_orderkey, f, CAST(CASE f WHEN 4 THEN NULL ELSE CASE f WHEN 0 THEN w * 1000 + r + 0.25 WHEN 1 THEN w * 1000 + r + 0.25 WHEN 2 THEN w * 1000 + r WHEN 3 THEN w + 0.5 END END AS DOUBLE) AS amount FROM (SELECT o_orderkey, o_orderkey % 5 f, 1 + o_orderkey % 900 w, 100 + o_orderkey % 800 r FROM orders)")
-def _(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 5).alias("f"), (1 + F.col("o_orderkey") % 900).cast("string").alias("w"), (100 + F.col("o_orderkey") % 800).cast("string").alias("r"))
-    w, r = F.col("w"), F.col("r")
-    shape = (F.when(F.col("f") == 0, F.concat(F.lit("$"), w, F.lit(","), r, F.lit(".25"))).when(F.col("f") == 1, F.concat(F.lit("€"), w, F.lit("."), r, F.lit(",25")))
-             .when(F.col("f") == 2, F.concat(F.lit("$"), w, F.lit(","), r)).when(F.col("f") == 3, F.concat(w, F.lit(",5 EUR"))).otherwise(F.concat(F.lit("€"), w, F.lit("."), r)))
-    return o.select("o_orderkey", "f", P.parse_amount(shape).alias("amount"))
-
-
 @register("c25_month_dates", "SELECT o_orderkey, CAST(month(dt) AS VARCHAR) || '-' || CAST(day(dt) AS VARCHAR) AS date, CASE WHEN o_orderkey % 2 = 0 THEN CAST(year(dt) AS VARCHAR) END AS year FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) dt FROM orders)")
 def _(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet").withColumn("dt", F.col("o_orderdate").cast("date"))
@@ -270,47 +260,6 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", U.funnel_id("url").alias("funnel_id"))
 
 
-_IP = "CAST((event_id * 7919) % 256 AS {t}) || '.' || CAST((event_id * 104729) % 256 AS {t}) || '.' || CAST((event_id * 31) % 256 AS {t}) || '.' || CAST(event_id % 256 AS {t})"
-_RANGES = " OR ".join(f"v BETWEEN {a} AND {b}" for a, b in U._ranges())
-
-
-@register("c30_c32_admission", f"SELECT event_id, ip, CASE WHEN {_RANGES} THEN 'private_host' END AS code, {_IP.format(t='VARCHAR')} AS dotted FROM (SELECT event_id, {_IP.format(t='VARCHAR')} ip, ((event_id * 7919) % 256) * 16777216 + ((event_id * 104729) % 256) * 65536 + ((event_id * 31) % 256) * 256 + event_id % 256 v FROM events)")
-def _(spark, d):
-    # The same address in dotted, decimal and hexadecimal spelling.
-    e = events(spark, d).select("event_id", F.expr(_IP.format(t="STRING")).alias("ip"))
-    v = U.ipv4_value("ip")
-    spelled = F.when(F.col("event_id") % 3 == 0, F.col("ip")).when(F.col("event_id") % 3 == 1, v.cast("string")).otherwise(F.concat(F.lit("0x"), F.lower(F.hex(v))))
-    e = e.withColumn("spelled", spelled)
-    return e.select("event_id", "ip", U.url_check(F.concat(F.lit("http://"), F.col("spelled"), F.lit("/")))["code"].alias("code"), U.ipv4_norm("spelled").alias("dotted"))
-
-
-@register("c33_ipv6", "SELECT event_id, event_id % 6 IN (0, 1, 2, 3, 5) AS private FROM events")
-def _(spark, d):
-    k = F.col("event_id")
-    h = F.lower(F.hex(k % 65536))
-    form = (F.when(k % 6 == 0, F.concat(F.lit("fd00::"), h)).when(k % 6 == 1, F.concat(F.lit("fe80::1:"), h)).when(k % 6 == 2, F.concat(F.lit("::ffff:10.0.0."), (k % 256).cast("string")))
-            .when(k % 6 == 3, F.concat(F.lit("64:ff9b::7f00:"), h)).when(k % 6 == 4, F.concat(F.lit("2a00:1450:4001::"), h)).otherwise(F.lit("2001:0:1::1")))
-    return events(spark, d).select("event_id", U.is_private_ipv6(form).alias("private"))
-
-
-_STATUS = "CASE WHEN event_id % 11 = 0 THEN NULL ELSE 200 + 100 * (event_id % 4) + event_id % 30 END"
-
-
-@register("c44_link_outcome", f"SELECT event_id, CASE WHEN st IS NULL THEN 'unreachable' WHEN st < 400 THEN 'ok' WHEN st IN (401, 403, 429, 999) THEN 'blocked' ELSE 'broken' END AS outcome, coalesce(st < 400 OR st IN (401, 403, 429, 999), false) AS ok FROM (SELECT event_id, {_STATUS} st FROM events)")
-def _(spark, d):
-    e = events(spark, d).select("event_id", F.expr(_STATUS).cast("int").alias("st"))
-    return e.select("event_id", H.link_outcome("st").alias("o")).select("event_id", "o.outcome", "o.ok")
-
-
-_SEV = lst(L.SEVERITIES).replace("(", "[").replace(")", "]")
-
-
-@register("c45_severity", f"SELECT event_id, sev, CAST(list_position({_SEV}, sev) - 1 AS INTEGER) AS rank, {_SEV}[least(5, list_position({_SEV}, sev) + 1)] AS down, {_SEV}[greatest(1, list_position({_SEV}, sev) - 1)] AS up, CASE WHEN value / 100 < 0.5 AND sev IN ('critical', 'high') THEN {_SEV}[list_position({_SEV}, sev) + 1] ELSE sev END AS tempered FROM (SELECT event_id, value, {_SEV}[1 + event_id % 5] sev FROM events)")
-def _(spark, d):
-    e = events(spark, d).withColumn("sev", F.get(F.array(*[F.lit(x) for x in L.SEVERITIES]), (F.col("event_id") % 5).cast("int")))
-    return e.select("event_id", "sev", L.sev_rank("sev").alias("rank"), L.downgrade("sev").alias("down"), L.upgrade("sev").alias("up"), L.temper("sev", F.col("value") / 100).alias("tempered"))
-
-
 @register("c41_emails", f"SELECT doc_id, i, lower(l[i]) AS email FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) i FROM (SELECT doc_id, regexp_extract_all(text, {s(C.EMAIL)}) l FROM documents))")
 def _(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(C.emails("text")).alias("i", "email")).select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "email")
@@ -338,16 +287,6 @@ def _(spark, d):
     return S.organization_names(n).select("page_id", "name").join(S.postal_addresses(n).select("page_id", "address"), "page_id")
 
 
-@register("c61_schema_fields", "SELECT doc_id AS page_id, 'q' || CAST(doc_id AS VARCHAR) AS name, 'Your ' || source || '?' AS label, CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'radio' ELSE 'email' END AS type, doc_id % 2 = 0 AS required, CASE WHEN doc_id % 3 = 1 THEN 'A,B' ELSE '' END AS options FROM documents")
-def _(spark, d):
-    p = docs(spark, d).select(F.col("doc_id").alias("page_id"), F.lit(0).alias("seq"), F.concat(
-        F.lit('{"fields":[{"ref":"q'), F.col("doc_id").cast("string"), F.lit('","title":"Your '), F.col("source"), F.lit('?","type":"'),
-        F.when(F.col("doc_id") % 3 == 0, "short_text").when(F.col("doc_id") % 3 == 1, "multiple_choice").otherwise("email"), F.lit('","validations":{"required":'),
-        F.when(F.col("doc_id") % 2 == 0, "true").otherwise("false"), F.lit('},"properties":{"choices":'), F.when(F.col("doc_id") % 3 == 1, '[{"label":"A"},{"label":"","ref":"B"}]').otherwise("[]"),
-        F.lit('}},{"type":"welcome_screen","title":"Hi"},{"type":"group","properties":{"fields":[{"type":"short_text","title":"csrf token"}]}}]}')).alias("payload"))
-    return S.schema_fields(p).select("page_id", "name", "label", "type", "required", F.array_join("options", ",").alias("options"))
-
-
 @register("c49_c57_page_wording", LP.sql(["vt"], f"SELECT page_id, {has('visible_text', L.SCHEDULING_TEXT)} AS scheduling, {has('visible_text', L.BOOKED_TEXT)} AS booked, {has('visible_text', L.CONFIRMATION_TEXT)} AS confirmation, {ext('visible_text', L.TERMINAL_TEXT)} IS NOT NULL AND NOT {has(ext('visible_text', L.TERMINAL_TEXT), L.PROGRESS_TEXT)} AS terminal FROM vt"))
 def _(spark, d):
     from pagelode.functions.base import has as h
@@ -771,17 +710,6 @@ def _(spark, d):
     return CO.duplicate_pages(docs(spark, d).select(F.col("doc_id").alias("page_id"), F.col("text").alias("html")))
 
 
-_CAPS = "SELECT event_id AS capture_id, 'https://site' || CAST(user_id AS {t}) || '.example.com/p/' || CASE WHEN event_id % 2 = 0 THEN '' ELSE '#x' END AS url, ts AS captured_at, event_type || CAST(CAST(floor(value / 40) AS INT) AS {t}) AS sha256 FROM "
-
-
-@register("k06_capture_diff", f"SELECT capture_id, key, prev IS NULL AS first, coalesce(prev <> sha256, false) AS changed FROM (SELECT *, lag(sha256) OVER (PARTITION BY key ORDER BY captured_at, capture_id) prev FROM (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') AS key FROM ({_CAPS.format(t='VARCHAR')} events)))")
-def _(spark, d):
-    e = events(spark, d)
-    t = e.select(F.col("event_id").alias("capture_id"), F.concat(F.lit("https://site"), F.col("user_id").cast("string"), F.lit(".example.com/p/"), F.when(F.col("event_id") % 2 == 0, "").otherwise("#x")).alias("url"), F.col("ts").alias("captured_at"),
-                 F.concat("event_type", F.floor(F.col("value") / 40).cast("int").cast("string")).alias("sha256"))
-    return CO.capture_diff(t).select("capture_id", "key", "first", "changed")
-
-
 @register("k07_link_edges", LP.sql(["ln"], f"SELECT {D.host('url')} AS src_host, {D.host('href')} AS dst_host, count(*) AS links, {D.registrable(D.host('url'))} = {D.registrable(D.host('href'))} AS internal FROM ln WHERE {D.host('href')} IS NOT NULL GROUP BY ALL"))
 def _(spark, d):
     doc = snapshot(spark, d)
@@ -908,15 +836,3 @@ def _(spark, d):
 def _(spark, d):
     t = spark.read.parquet(f"{d}/conversations.parquet")
     return EV.new_phrases(t, "conv_id", ["turn"], r"(?i)\b[a-z]{9,}\b").select("conv_id", "turn")
-
-
-@register("c42_parties", f"SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'security_infrastructure' WHEN 1 THEN 'analytics' WHEN 2 THEN 'first_party' WHEN 3 THEN 'third_party' ELSE 'browser' END AS party, CASE event_id % 5 WHEN 0 THEN 'Cloudflare Turnstile' WHEN 1 THEN 'Google Analytics' END AS vendor FROM events")
-def _(spark, d):
-    k = F.col("event_id") % 5
-    src = F.when(k == 0, "https://challenges.cloudflare.com/x").when(k == 1, "https://www.google-analytics.com/g").when(k == 2, F.concat(F.lit("https://cdn.shop"), F.col("user_id").cast("string"), F.lit(".co.uk/app.js"))).when(k == 3, "https://widget.other.io/w.js")
-    page = F.concat(F.lit("https://www.shop"), F.col("user_id").cast("string"), F.lit(".co.uk/"))
-    msg = F.when(k == 4, F.lit("Third-party cookie will be blocked")).otherwise(F.lit("TypeError"))
-    return events(spark, d).select("event_id", H.classify_party(src, page, msg).alias("p")).select("event_id", "p.party", "p.vendor")
-
-
-_unused = (markup, M, rep)
