@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from gate import duck as D
 from gate.duck import LP, s
-from gate.registry import register, snapshot
+from gate.registry import detectors, register, snapshot
 from pagelode.functions import hosts as H
 from pagelode.functions import labels as L
 from pagelode.functions import prices as P
 from pagelode.functions import urls as U
 from pagelode.operators import structured as S
 from pagelode.plans import corpus as CO
+from pagelode.plans import rules as R
+from pagelode.plans.sections import Sections
 
 
 def read(spark, d, name):
@@ -86,7 +88,7 @@ def _(spark, d):
 
 _under = lambda h, *names: "(" + " OR ".join(f"{h} = {s(n)} OR {h} LIKE {s('%.' + n)}" for n in names) + ")"
 _GUARDS = _under("h", "challenges.cloudflare.com", "hcaptcha.com", "recaptcha.net", "gstatic.com", "google.com")
-_METERS = _under("h", "google-analytics.com", "googletagmanager.com", "doubleclick.net", "facebook.com", "facebook.net", "tiktok.com", "linkedin.com", "hotjar.com", "hotjar.io", "clarity.ms", "posthog.com", "sentry.io")
+_METERS = _under("h", "google-analytics.com", "googletagmanager.com", "doubleclick.net", "facebook.com", "facebook.net", "tiktok.com", "linkedin.com", "hotjar.com", "hotjar.io", "clarity.ms", "posthog.com", "amplitude.com", "sentry.io")
 _PARTY = f"CASE WHEN h IS NULL THEN 'unknown' WHEN {_GUARDS} THEN 'security_infrastructure' WHEN {_METERS} THEN 'analytics' WHEN {D.registrable('h')} = {D.registrable(D.host('url'))} THEN 'first_party' ELSE 'third_party' END"
 _MAKER = f"CASE WHEN {_under('h', 'googletagmanager.com')} THEN 'Google Tag Manager' WHEN {_under('h', 'google-analytics.com')} THEN 'Google Analytics' WHEN {_under('h', 'facebook.com', 'facebook.net')} THEN 'Meta' END"
 
@@ -151,3 +153,40 @@ def _(spark, d):
     t = read(spark, d, "documents").select(
         F.col("doc_id").alias("capture_id"), F.expr(_ADDRESS).alias("url"), F.timestamp_seconds(F.col("doc_id") * 60).alias("captured_at"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
     return CO.capture_diff(t).select("capture_id", "key", "first", "changed")
+
+
+# =============================================================== what the browser logged
+
+# Every event as a line of the browser's log on the landing page of its user's number: errors on the console, purchases as
+# requests that failed, all else as answers. Its value and properties choose what was asked for.
+_LOG = """SELECT user_id AS page_id, ts, CASE event_type WHEN 'error' THEN 'console' WHEN 'purchase' THEN 'requestfailed' ELSE 'response' END AS kind,
+ CASE WHEN value < 10 THEN 'https://www.google-analytics.com/g' WHEN value < 20 THEN 'https://cdn.amplitude.com/a.js' WHEN value < 40 THEN 'https://widget.other.io/w.js' ELSE {origin} || CASE WHEN k < 20 THEN '/a1.png' WHEN k < 40 THEN '/logo.png' ELSE '/api/' || CAST(k AS {t}) END END AS url,
+ CASE WHEN event_type IN ('view', 'click', 'signup') THEN 395 + k % 20 END AS status, CASE WHEN k < 50 THEN 'net::ERR_TIMED_OUT' ELSE 'net::ERR_ABORTED' END AS reason, 'TypeError: part ' || CAST(k AS {t}) || ' is undefined' AS text
+FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) e JOIN {pages} p ON p.page_id = e.user_id"""
+_LOG_SQL = "lg AS (" + _LOG.format(origin=D.origin("p.url"), t="VARCHAR", pages="lp") + ")"
+
+
+def logged(spark, d):
+    """Sections of the landing pages with the log of their browser."""
+    det = detectors(spark, d)
+    base = det.doc.base.select("page_id", F.concat(U.scheme("page_url"), F.lit("://"), U.host("page_url")).alias("origin"))
+    events = spark.sql(_LOG.format(origin="p.origin", t="STRING", pages="{base}").replace("FROM events)", "FROM {events})"), base=base, events=read(spark, d, "events"))
+    return Sections(det, events=events.withColumn("source", F.col("url")))
+
+
+_PARTIES = f"""pt AS (SELECT page_id, what, CASE WHEN {_METERS} THEN 'analytics' WHEN {D.registrable('h')} = {D.registrable(D.host('page'))} THEN 'first_party' ELSE 'third_party' END AS party, count(*) AS n
+ FROM (SELECT DISTINCT page_id, what, CASE WHEN what = 'failed' THEN lg_url || coalesce(CAST(status AS VARCHAR), '-') ELSE CAST(rn AS VARCHAR) END AS one, {D.host('lg_url')} AS h, page FROM
+  (SELECT lg.page_id, lg.url AS lg_url, status, u.url AS page, CASE WHEN kind = 'console' THEN 'console' ELSE 'failed' END AS what, row_number() OVER () AS rn FROM lg JOIN lp u USING (page_id) WHERE lg.url NOT LIKE '%google-analytics.com%' AND (kind = 'console' OR status >= 400 OR (kind = 'requestfailed' AND reason NOT LIKE '%ERR_ABORTED%')))) GROUP BY ALL)"""
+
+
+@register("f13_party_totals", LP.sql([], "SELECT page_id, " + ", ".join(
+    f"sum(n) FILTER (WHERE what = '{w}') AS {a}, sum(n) FILTER (WHERE what = '{w}' AND party = 'first_party') AS {w}_first, string_agg(CAST(n AS VARCHAR) || ' ' || party, ', ' ORDER BY party) FILTER (WHERE what = '{w}') AS {w}_parties" for w, a in (("console", "console_errors"), ("failed", "failed_requests"))) + " FROM pt GROUP BY page_id", _LOG_SQL + ",\n" + _PARTIES))
+def _(spark, d):
+    t = R.technical_totals(logged(spark, d)).drop("redirects").filter("console_errors > 0 OR failed_requests > 0")
+    none_as_null = lambda c: F.when(F.col(c) > 0, F.col(c)).alias(c)
+    return t.select("page_id", "console_errors", none_as_null("console_first"), "console_parties", "failed_requests", none_as_null("failed_first"), "failed_parties")
+
+
+@register("j08_broken_images", LP.sql(["im"], "SELECT page_id, count(DISTINCT src) AS broken FROM im WHERE src IN (SELECT url FROM lg WHERE lg.page_id = im.page_id AND kind <> 'console' AND (status IS NULL OR status >= 400)) AND coalesce(width, 0) >= 8 AND coalesce(height, 0) >= 8 AND NOT regexp_matches(src, '(?i)[.]svg') GROUP BY page_id", _LOG_SQL))
+def _(spark, d):
+    return R.broken_images(logged(spark, d)).filter("broken_image_lines IS NOT NULL").select("page_id", (F.size("broken_image_lines") - 1).alias("broken"))
