@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gate import duck as D
 from gate.duck import LP, s
+from gate.q_more import _CTA, _CTA_SQL, _SUP
 from gate.registry import detectors, register, snapshot
 from pagelode.functions import hosts as H
 from pagelode.functions import labels as L
@@ -190,3 +191,22 @@ def _(spark, d):
 @register("j08_broken_images", LP.sql(["im"], "SELECT page_id, count(DISTINCT src) AS broken FROM im WHERE src IN (SELECT url FROM lg WHERE lg.page_id = im.page_id AND kind <> 'console' AND (status IS NULL OR status >= 400)) AND coalesce(width, 0) >= 8 AND coalesce(height, 0) >= 8 AND NOT regexp_matches(src, '(?i)[.]svg') GROUP BY page_id", _LOG_SQL))
 def _(spark, d):
     return R.broken_images(logged(spark, d)).filter("broken_image_lines IS NOT NULL").select("page_id", (F.size("broken_image_lines") - 1).alias("broken"))
+
+
+# =============================================================== what probes of links said
+
+# Every event as the answer to a probe of a destination on the landing page of its user's number; the earliest counts.
+_PROBES = f"""SELECT user_id AS page_id, event_id AS seq, {_ANSWER} AS status,
+ CASE WHEN value < 20 THEN 'https://calendly.com/acme/intro' WHEN value < 40 THEN 'https://buy.stripe.com/abc' WHEN value < 60 THEN 'https://acme.typeform.com/to/Ab12' ELSE 'https://status.other.org/x' END AS url FROM events"""
+_JUDGED = "CASE WHEN p.page_id IS NULL THEN NULL WHEN status IS NULL THEN 'unreachable' WHEN status < 400 THEN 'ok' WHEN status IN (401, 403, 429, 999) THEN 'blocked' ELSE 'broken' END"
+
+
+@register("f09_probed_ctas", LP.sql(["bt", "hd_all", "hd", "bl"], f"""SELECT DISTINCT page_id, url, CASE WHEN outcome IS NULL THEN 'not_checked' WHEN outcome IN ('ok', 'blocked') THEN 'ok' ELSE 'broken' END AS resolves, status, coalesce(outcome, 'none') AS outcome
+ FROM (SELECT c.page_id, c.href AS url, status, {_JUDGED} AS outcome FROM calls c LEFT JOIN pb p ON p.page_id = c.page_id AND p.url = c.href WHERE c.href IN ('https://calendly.com/acme/intro', 'https://buy.stripe.com/abc', 'https://acme.typeform.com/to/Ab12'))""",
+ f"{_CTA},{_SUP},\ncalls AS ({_CTA_SQL}),\npb AS (SELECT * FROM ({_PROBES}) QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY seq) = 1)"))
+def _(spark, d):
+    answers = spark.sql(_PROBES.replace("FROM events", "FROM {events}"), events=read(spark, d, "events"))
+    probes = answers.withColumn("ok", H.link_outcome("status")["ok"])
+    ctas = Sections(detectors(spark, d), probes=probes).ctas.filter(F.col("url").rlike("^https://(calendly[.]com/acme/intro|buy[.]stripe[.]com/abc|acme[.]typeform[.]com/to/Ab12)$"))
+    judged = F.when(F.col("resolves") == "not_checked", "none").otherwise(F.col("outcome"))
+    return ctas.select("page_id", "url", "resolves", "status", judged.alias("outcome")).distinct()
