@@ -5,7 +5,7 @@ import os
 import pytest
 
 DIR = "/root/testdata/sf0.001"
-FAST = ["b01_tokens", "c01_c04_normalise", "c06_c15_url_functions", "k05_duplicate_pages", "k06_capture_diff", "g14_n02_failed_requests", "h16_h17_run_states"]
+FAST = ["b01_tokens", "c01_c04_normalise", "c06_c15_url_functions", "k05_duplicate_pages", "k06_capture_diff", "g14_n02_failed_requests", "h16_h17_run_states", "c23_parse_amount", "c30_c32_admission", "c33_ipv6", "c44_link_outcome", "c45_severity", "c61_schema_fields"]
 
 
 def test_registry_is_consistent():
