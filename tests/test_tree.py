@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gate.registry import layout
 from pagelode.operators import evidence as V
+from pagelode.operators import markup as M
 from pagelode.operators import tree as T
 from pagelode.operators.elements import Document
 from pagelode.plans import formmatch, raw
@@ -44,6 +45,25 @@ def test_paths_have_five_levels(doc):
     assert sorted(of(doc, 2).values()) == ["div > div > div > div > button", "html > body > main > button"]
 
 
+def test_element_tables_are_never_broadcast(doc):
+    """A staged table is a hundredth of its rows on disk, so its size there says nothing about a broadcast."""
+    plan = T.paths(doc.quick_selectors.filter("quick IS NULL"), doc.tree_parts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == T.LEVELS and "Broadcast" not in plan and "Exchange" not in plan
+
+
+def test_partitions_grow_with_the_markup(spark, monkeypatch):
+    monkeypatch.setattr(M, "PARTITION_BYTES", 1000)
+    pages = spark.createDataFrame([(i, "https://a.example.com/", "<p>" + "word " * 100 + f"<button>{i}</button>") for i in range(40)], "page_id long, url string, html string")
+    one = Document(pages).keep()
+    parts = -(-sum(len(r["html"]) for r in pages.collect()) // 1000)
+    assert parts > 20 and one.buckets == parts
+    assert one.tokens.rdd.getNumPartitions() == parts  # joined up by the size of the exchange before
+    joined = one.nodes.join(one.selectors, ["page_id", "seq"])
+    assert joined.rdd.getNumPartitions() == parts and one.base.rdd.getNumPartitions() == parts
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert one.nodes.filter("kind = 'text'").count() == 80 and Document(pages).keep(7).buckets == 7
+
+
 def test_parents_of_any_markup_equal_a_stack(spark):
     r = random.Random(4)
     pages = []
