@@ -5,6 +5,10 @@ sixteen; pigeonhole search at such a radius probes about a hundredth of all pair
 takes wider fingerprints (1024 bits) and many partitions of bits with threshold zero. A pair at
 the wanted similarity meets in none of them with probability `MISSED`, one above it far less often.
 
+The generalised pigeonhole search of `simhash` goes first, on the first 64 bits at radius `FIRST`: of
+the pairs it finds, those whose sets are similar enough are links. Texts that these connect are never
+compared again, so a crowd of near copies does not meet in every partition.
+
 Repeats of a shingle in a text count once, and texts with equal sets are combined beforehand.
 Documents that meet are first compared on 64 bits; where one has a plausible partner, and only there,
 it is compared on its whole fingerprint, within a radius so wide that it turns down hardly any pair that is similar
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pagelode.llm.components import connected
 from pagelode.llm.shared import Scratch, partitions_for, ship
-from pagelode.llm.simhash import shingle_hashes
+from pagelode.llm.simhash import near_pairs, shingle_hashes
 
 LANES = 16
 BITS = 64 * LANES
@@ -44,6 +48,8 @@ BLOCK = 1024
 TASK_ROWS = 300_000
 #: Bytes of shingle sets in a block and in a task.
 BLOCK_BYTES, TASK_BYTES = 16 << 20, 48 << 20
+#: Differing bits of the first 64 up to which the generalised pigeonhole search finds pairs.
+FIRST = 2
 _SALT = (np.arange(LANES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 _AT = (np.arange(8 * LANES, dtype=np.int64) * 256)[None, :]
 _BIT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
@@ -113,6 +119,18 @@ def in_cells(rows: DataFrame, parts: int, work, schema: str, weight: str | None
     return cells.withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(parts))).groupBy("part").applyInArrow(run, schema)
 
 
+def with_node(places: DataFrame, values: DataFrame) -> DataFrame:
+    """Attach what a node has to all its places (bucket, subset): one row a node is joined, however many places it has."""
+    listed = places.groupBy("node").agg(F.collect_list(F.struct("bucket", "subset")).alias("at"))  # at most one a subset
+    return listed.join(values, "node").withColumn("at", F.explode("at")).select("at.*", *values.columns)
+
+
+def first_of_code(distinct: DataFrame) -> DataFrame:
+    """(node, code, rep): the first 64 bits of a node and the smallest node that has the same."""
+    rows = distinct.select("node", F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long").alias("code"))
+    return rows.join(rows.groupBy("code").agg(F.min("node").alias("rep")), "code")
+
+
 def groups(df: DataFrame, scratch: Scratch, words: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, component_id): component_id is the smallest doc_id reachable over links.
 
@@ -148,43 +166,79 @@ def groups(df: DataFrame, scratch: Scratch, words: int = 5, similarity: float =
     near = int(BITS * p + SLACK * math.sqrt(BITS * p * (1 - p)))
     plausible, short_plausible = (int(64 * q + PLAUSIBLE * math.sqrt(64 * q * (1 - q))) for q in (p, max(p, SHORT_FLIPS)))
 
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), words).tobytes() for x in b.column(1)], pa.binary())], names=["node", "set"])
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """One text's set for each node; joined by row, so that copies of a text are no busy key."""
+        wanted = distinct.join(nodes.select("node").distinct(), "node").select("node", "one_id", "one_key")
+        texts = given.join(wanted, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("key") == F.col("one_key"))).select("node", "text")
+        return scratch.cut(texts.mapInArrow(as_sets, "node long, set binary").groupBy("node").agg(F.first("set").alias("set")))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = ([np.frombuffer(x.as_py(), np.uint64) for x in b.column(k)] for k in (2, 3))
+            ok = pa.array([similar_sets(x, y, least) for x, y in zip(*sets)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        sided = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"{k}_set"))
+        return pairs.join(sided("a"), "a").join(sided("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(verify, "a long, b long")
+
+    # Generalised pigeonhole first: each node with the first of its own 64 bits, and those that are near each other.
+    coded = scratch.cut(first_of_code(distinct))
+    one_each = scratch.cut(coded.filter("node = rep").select(F.col("code").alias("fp"), "node"))
+    ends = lambda k: one_each.select(F.col("fp").alias(k), F.col("node").alias(f"{k}_node"))
+    across = near_pairs(one_each.select("fp"), FIRST, scratch).join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    found = scratch.cut(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(coded.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))).distinct())
+    close_sets = sets_of(found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))))
+    # A pair for each text, then those of the rest that still connect anything.
+    tried = scratch.cut(verified(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), close_sets))
+    near_root = scratch.cut(connected(tried, scratch))
+    rooted = lambda rows, k: rows.join(near_root.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")), k, "left").withColumn(f"{k}_root", F.coalesce(f"{k}_root", k))
+    apart = rooted(rooted(found, "a"), "b").filter("a_root != b_root").select("a", "b")
+    close = scratch.cut(tried.union(verified(apart, close_sets)))
+    near_root = scratch.cut(connected(close, scratch))
+    linked = scratch.cut(rooted(distinct.select("node", "fp", "bytes"), "node").withColumnRenamed("node_root", "root"))
+
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.left_shift(np.int64(1), np.arange(bits, dtype=np.int64))
         for b in batches:
             for k in range(0, b.num_rows, 2000):
                 part = b.slice(k, 2000)
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                node, short = part.column(0).to_numpy(), part.column(2).to_numpy() <= 8 * SHORT
+                node, root, short = part.column(0).to_numpy(), part.column(3).to_numpy(), part.column(2).to_numpy() <= 8 * SHORT
                 on, code = np.unpackbits(raw, axis=1, bitorder="little"), np.ascontiguousarray(raw[:, :8]).view("<i8").ravel()
                 for i, subset in enumerate(chosen):
                     own = short if i >= common else np.ones(len(code), bool)
                     value = on[own][:, subset].astype(np.int64) @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(code[own]), pa.array(short[own]), pa.array(np.full(own.sum(), i, np.int32)), pa.array(value)], names=["node", "code", "short", "subset", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(root[own]), pa.array(code[own]), pa.array(short[own]), pa.array(np.full(own.sum(), i, np.int32)), pa.array(value)], names=["node", "root", "code", "short", "subset", "value"])
 
     bucket = F.xxhash64("subset", "value").alias("bucket")
-    spread = distinct.select("node", "fp", "bytes").mapInArrow(bands, "node long, code long, short boolean, subset int, value long").select(bucket, "subset", "node", "code", "short")
+    spread = linked.select("node", "fp", "bytes", "root").mapInArrow(bands, "node long, root long, code long, short boolean, subset int, value long").select(bucket, "subset", "node", "root", "code", "short")
 
     def partners(group: pa.Table, cell: np.ndarray) -> pa.Table:
-        code, short = group["code"].to_numpy().view(np.uint64), group["short"].to_numpy()
+        code, short, root = group["code"].to_numpy().view(np.uint64), group["short"].to_numpy(), group["root"].to_numpy()
         has = np.zeros(len(code), bool)
         for i, j in pairs_in_cells(cell):
-            close = np.bitwise_count(code[i] ^ code[j]) <= np.where(short[i] & short[j], short_plausible, plausible)
+            close = (root[i] != root[j]) & (np.bitwise_count(code[i] ^ code[j]) <= np.where(short[i] & short[j], short_plausible, plausible))
             has[i[close]] = has[j[close]] = True
         return group.select(["bucket", "subset", "node"]).filter(pa.array(has))
 
     rows_in = lambda total: partitions_for(total, TASK_ROWS, df.sparkSession)
     some = scratch.cut(in_cells(spread, rows_in(n * common), partners, "bucket long, subset int, node long").distinct())
-    known = scratch.cut(some.select("node").distinct().join(distinct, "node"))
+    known = scratch.cut(some.select("node").distinct().join(linked, "node"))
 
     def candidates(group: pa.Table, cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs within the radius that meet in no subset before this one."""
+        """Pairs of different roots within the radius that meet in no subset before this one."""
         fp = np.frombuffer(b"".join(group["fp"].to_pylist()), "<u8").reshape(-1, LANES)
-        subset = group["subset"].to_numpy()
+        subset, root = group["subset"].to_numpy(), group["root"].to_numpy()
         for i, j in pairs_in_cells(cell):
             for k in range(0, len(i), 100_000):
                 a, b = i[k : k + 100_000], j[k : k + 100_000]
                 differ = fp[a] ^ fp[b]
-                new = np.flatnonzero(np.bitwise_count(differ).sum(1) <= near)
+                new = np.flatnonzero((np.bitwise_count(differ).sum(1) <= near) & (root[a] != root[b]))
                 before = subset[a]
                 for t in range(int(before[new].max(initial=0))):
                     met = ((differ[new] & masks[t]) == 0).all(1) & (before[new] > t)
@@ -198,30 +252,23 @@ def groups(df: DataFrame, scratch: Scratch, words: int = 5, similarity: float =
             has[i] = has[j] = True
         return group.select(["bucket", "subset", "node"]).filter(pa.array(has))
 
-    full = some.join(known.select("node", "fp"), "node")
+    full = with_node(some, known.select("node", "root", "fp"))
     met = scratch.cut(in_cells(full, rows_in(some.count()), meetings, "bucket long, subset int, node long").distinct())
 
-    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), words).tobytes() for x in b.column(1)], pa.binary())], names=["node", "set"])
-
-    # One text for each set that has a candidate; joined by row, so that copies of a text are no busy key.
-    wanted = known.join(met.select("node").distinct(), "node").select("node", "one_id", "one_key")
-    texts = given.join(wanted, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("key") == F.col("one_key"))).select("node", "text")
-    sets = scratch.cut(texts.mapInArrow(as_sets, "node long, set binary").groupBy("node").agg(F.first("set").alias("set")))
-    sized = met.join(known.select("node", "fp", "bytes"), "node")
+    sets = sets_of(met)
+    sized = with_node(met, known.select("node", "bytes"))
     heavy = sized.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("w")).select((F.col("w") * F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_BYTES))).alias("w"))
     parts = max(rows_in(met.count()), -(-int(heavy.agg(F.sum("w")).first()[0] or 0) // TASK_BYTES))
 
     def links(group: pa.Table, cell: np.ndarray) -> pa.Table:
         node, size = group["node"].to_numpy(), group["bytes"].to_numpy() // 8
         own = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
-        root: dict[int, int] = {}
+        held: dict[int, int] = {}
         out: list[tuple[int, int]] = []
 
         def find(x: int) -> int:
-            while (y := root.get(x, x)) != x:
-                root[x] = root.get(y, y)
+            while (y := held.get(x, x)) != x:
+                held[x] = held.get(y, y)
                 x = y
             return x
 
@@ -230,11 +277,13 @@ def groups(df: DataFrame, scratch: Scratch, words: int = 5, similarity: float =
             for a, b in zip(i[fits].tolist(), j[fits].tolist()):
                 x, y = int(node[a]), int(node[b])
                 if (p := find(x)) != (q := find(y)) and similar_sets(own[a], own[b], least):
-                    root[q] = p
+                    held[q] = p
                     out.append((x, y))
         return pa.table([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    roots = scratch.cut(connected(in_cells(sized.join(sets, "node"), parts, links, "a long, b long", weight="bytes"), scratch))
+    whole = with_node(met, known.select("node", "root", "fp", "bytes").join(sets, "node"))
+    far = in_cells(whole, parts, links, "a long, b long", weight="bytes")
+    roots = scratch.cut(connected(close.union(far), scratch))
     smallest = roots.join(distinct, "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = roots.join(smallest, "root").select("node", "component_id")
     ids = scratch.cut(distinct.join(named, "node", "left").select("digest", F.coalesce("component_id", "first_id").alias("component_id")))

@@ -243,6 +243,23 @@ def test_similar_links_by_the_sets_alone(spark, monkeypatch, block_bytes):
     assert sum(got[i] != want[i] for i in got) <= 4  # pairs that met in no partition
 
 
+def test_similar_links_by_pigeonhole_search_first(spark, monkeypatch):
+    """Near copies are linked without the wide fingerprints, and no text they connect is compared again."""
+    compared = []
+
+    def no_cells(rows, parts, work, schema, weight=None):
+        compared.append(rows)
+        return rows.sparkSession.createDataFrame([], schema)
+
+    monkeypatch.setattr(similar, "in_cells", no_cells)
+    r = random.Random(8)
+    long = [[f"w{r.randint(0, 10**6)}" for _ in range(3000)] for _ in range(4)]
+    texts = [" ".join([*w[:-1], f"end{k}"] if k else w) for w in long for k in range(5)]
+    got = {x.doc_id: x.component_id for x in similar.groups(docs(spark, texts), Scratch(spark)).collect()}
+    assert got == {i: i - i % 5 for i in range(20)}
+    assert compared[0].select("node", "root").distinct().groupBy("root").count().filter("count = 5").count() == 4
+
+
 def test_similar_counts_a_repeated_shingle_once(spark):
     """A row of fillers makes up most shingles of each text, but their sets are apart."""
     r = random.Random(5)
