@@ -275,6 +275,26 @@ def test_toxicity_learns_words_and_their_relatives(spark):
     assert toxicity.score(df, nothing).filter("toxic_score = 0").count() == 900
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Each word is in three of 12,000 rows, so a model of half of them misses most."""
+    monkeypatch.setattr(toxicity, "EPOCHS", (1, 1), raising=False)
+    word = F.substring(F.sha2(F.concat(F.floor(F.col("doc_id") / 6), F.col("doc_id") % 2).cast("string"), 256), 1, 9)
+    df = spark.range(12_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic")).withColumn("text", word).withColumn("lang", F.lit("en"))
+    model = toxicity.fit(df, df.select("doc_id", "toxic"), F.lit(True))
+    got = toxicity.score(df, model).agg(F.avg((F.col("toxic_pred") == F.col("toxic")).cast("int"))).first()[0]
+    assert got >= 0.9
+
+
+def test_thresholds_equal_all_cuts_tried(spark):
+    r = random.Random(8)
+    rows = [(lang, (y := int(r.random() < 0.3)), round(r.gauss(2 * y, 1), 1)) for lang in ("", "de", "en") for _ in range(400)]
+    got = toxicity.thresholds(spark.createDataFrame(rows, "lang string, y int, z double").repartition(5), Scratch(spark))
+    for lang in ("", "de", "en"):
+        z, y = np.array([x[2] for x in rows if x[0] == lang]), np.array([x[1] for x in rows if x[0] == lang])
+        f1 = lambda cut: 2 * y[z >= cut].sum() / ((z >= cut).sum() + y.sum())
+        assert abs(f1(got[lang]) - max(map(f1, z))) < 1e-12
+
+
 def test_long_text_is_pooled_in_runs(monkeypatch):
     net = toxicity.Network()
     rows = toxicity.rows_of("some words in a text that is longer than one run of words " * 9)
