@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pagelode.functions import base as B
 from pagelode.functions import claims as C
 from pagelode.functions import hosts as H
 from pagelode.functions import labels as L
@@ -116,3 +117,27 @@ def test_null_inputs(spark):
     df = spark.range(1).select(F.lit(None).cast("string").alias("s"))
     row = df.select(T.collapse("s"), U.host("s"), U.url_check("s")["code"], P.parse_amount("s"), C.rating_in("s"), H.embed_provider("s")).first()
     assert list(row) == ["", None, "invalid_url", None, None, None]
+
+
+def test_white_space_classes_split_all_characters(one):
+    """Both classes give what a browser calls white space, and put what most characters are first."""
+    spaces = [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    others = [0, 8, 14, 31, 33, 97, 0x9F, 0xA1, 0xE9, 0x167F, 0x1681, 0x1FFF, 0x200B, 0x2027, 0x202A, 0x2030, 0x2060, 0x2FFF, 0x3001, 0xFEFE, 0xFF00, 0x1F600, 0x10FFFF]
+    chars = [chr(n) for n in spaces + others] + ["\ufeff"]
+    got = one(chars, "c string", F.struct(F.col("c").rlike(rf"\A{B.WS}\z"), F.col("c").rlike(rf"\A{B.NOT_WS}\z")))
+    assert [tuple(g) for g in got] == [(True, False)] * len(spaces) + [(False, True)] * len(others) + [(True, False)]
+    assert B.NOT_WS.startswith("[!-") and "&&" in B.WS
+
+
+def test_word_edges_are_simple_where_a_word_character_is_sure(one):
+    edge = B._EDGE
+    cases = {
+        r"(?i)\b(foo|bars?)\b": r"(?i)(?<!\w)(foo|bars?)(?!\w)", r"\b(?:only\s+)?\d{1,4}\b": r"(?<!\w)(?:only\s+)?\d{1,4}(?!\w)",
+        r"^q$|\bsearch\b": r"^q$|(?<!\w)search(?!\w)", r"\b[.]x\b": edge + r"[.]x(?!\w)", r"\b(a|)b": edge + "(a|)b", r"\bx(?=\d)\b": r"(?<!\w)x(?=\d)" + edge,
+        r"\d\s?%\b": r"\d\s?%" + edge, r"\b[A-z]": edge + "[A-z]", r"a?\b": "a?" + edge, r"(?:\bfoo|bar\b)\b": r"(?:(?<!\w)foo|bar(?!\w))" + edge, "no edge": "no edge",
+    }
+    assert {p: B.rx(p) for p in cases} == cases
+    texts = ["foo", "foobar", "a foo.", "éfoo", "fooé", "_foo", "bars 12", "only 3", "only3", "x5", "search", "research", "[.x", "ab", "b", "50 %", "50%a", "", "bar-foo"]
+    for p in cases:
+        found = one(texts, "t string", F.struct(F.regexp_extract_all("t", F.lit(B.rx(p)), F.lit(0)), F.regexp_extract_all("t", F.lit(p.replace(r"\b", edge)), F.lit(0))))
+        assert all(a == b for a, b in found), p
