@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagelode.functions import hosts as H
 from pagelode.functions import urls as U
+from pagelode.plans import classify as K
 from pagelode.plans.sections import Sections
 
 
@@ -42,3 +43,17 @@ def test_judged_forms_have_a_small_plan(spark):
         (2, 3, "native_html", "third_party_endpoint", "else.example"), (3, 4, "orphan_fields", "unknown", None),
         (4, 5, "iframe_embed", "embed", "form.typeform.com"), (5, 6, "external_link", "third_party_endpoint", "form.typeform.com"),
     ]
+
+
+def test_page_tests_run_once(spark):
+    """Score and evidence read a test's column; the text is not matched for each of them."""
+    flags = sorted({t for _, rules in K.PAGE_TYPES for _, _, t in rules if isinstance(t, str)})
+    rows = [(1, 0, "join the webinar and press play", "https://a.example/webinar", *[False] * len(flags)), (2, 2, "thank you", "https://a.example/x", *[f == "v_visible" for f in flags])]
+    facts = spark.createDataFrame(rows, "page_id long, visible_videos int, text string, low_url string, " + ", ".join(f"{f} boolean" for f in flags)).repartition(1)
+    out = K.page_scores(facts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("press play") == 1
+    got = {(r.page_id, r.page_type): (r.score, r.evidence) for r in out.collect()}
+    assert got[1, "webinar_registration"] == (5, ["webinar language detected", "URL suggests registration"])
+    assert got[1, "vsl"] == (2, ["watch/video language detected"]) and got[2, "vsl"] == (3, ["2 visible video(s) detected"])
+    assert got[2, "thank_you"] == (3, ["thank-you language detected"]) and len(got) == 4
