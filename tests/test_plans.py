@@ -2,10 +2,14 @@
 
 from types import SimpleNamespace
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelode.functions import hosts as H
 from pagelode.functions import urls as U
+from pagelode.operators import evidence as V
+from pagelode.operators.elements import Document
+from pagelode.operators.staging import held, scope
 from pagelode.plans import classify as K
 from pagelode.plans.sections import Sections
 
@@ -57,3 +61,41 @@ def test_page_tests_run_once(spark):
     assert got[1, "webinar_registration"] == (5, ["webinar language detected", "URL suggests registration"])
     assert got[1, "vsl"] == (2, ["watch/video language detected"]) and got[2, "vsl"] == (3, ["2 visible video(s) detected"])
     assert got[2, "thank_you"] == (3, ["thank-you language detected"]) and len(got) == 4
+
+
+def test_staged_tables_are_read_sorted(spark):
+    """Joins, groups and windows on the page of staged tables need neither an exchange nor a sort buffer each."""
+    rows = spark.range(400).select((F.col("id") % 37).alias("page_id"), F.col("id").cast("int").alias("seq")).repartition(4, "page_id")
+    with scope(spark):
+        a, b = (held(SimpleNamespace(kept=True, buckets=4), rows, name) for name in ("left_rows", "right_rows"))
+        assert held(SimpleNamespace(kept=False), rows, "none") is rows
+        n = b.groupBy("page_id").agg(F.sort_array(F.collect_list("seq")).alias("all"))
+        out = a.withColumn("i", F.row_number().over(W.partitionBy("page_id").orderBy("seq"))).join(n, "page_id", "left")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Sort [" not in plan and "Exchange" not in plan and "SortAggregate" in plan
+        got = out.collect()
+    assert len(got) == 400 and all(r["all"][r.i - 1] == r.seq for r in got)
+
+
+def test_ledger_counts_all_collections_at_once(spark):
+    rows = lambda *pages: spark.createDataFrame([(p, None) for p in pages], "page_id long, inline_snippet string")
+    tables = "metas link_rels json_ld headings all_blocks block_elements buttons links section_like forms form_fields field_options all_options form_embeds hidden_inputs images_all images iframes embeds timers dialogs scripts"
+    doc = SimpleNamespace(**{name: rows() for name in tables.split()}, viewport={"height": 900})
+    doc.base, doc.page_text = rows(1, 2), spark.createDataFrame([(1, 5)], "page_id long, characters int")
+    doc.metas, doc.links, doc.all_blocks, doc.block_elements, doc.timers = rows(1, 1), rows(1), rows(2), rows(2, 2), rows(1)
+    asked = []
+    doc.of_kinds = lambda kinds: asked.append(kinds) or spark.createDataFrame([(1, i) for i, kind in kinds.items() if kind == "anchor"] * 3, "page_id long, i int")
+    out = V.completeness(doc)
+    assert len(asked) == 1 and sorted(asked[0].values()) == ["anchor", "dialog", "embed", "hidden_input", "image", "link_rel", "meta", "script"]
+    got = {(r.page_id, r.field): (r.captured, r.total, r.complete) for r in out.collect()}
+    assert len(got) == 2 * 21 + 1 and got[1, "visible_text"] == (5, 5, True)
+    assert {k: v for k, v in got.items() if v[1] and k[1] != "visible_text"} == {(1, "meta_all"): (2, 2, True), (1, "links"): (1, 3, False), (2, "paragraphs"): (1, 2, False), (1, "timers"): (1, 1, True)}
+
+
+def test_elements_of_many_kinds_come_from_one_reading(spark):
+    tags = ["<meta>", "<link rel=x>", "<link>", "<a href=/>", "<a>", '<div class="modal timer">', "<script>"]
+    nodes = spark.createDataFrame([(1, k, "raw" if t == "<script>" else "open", t.strip("<>").split()[0], t) for k, t in enumerate(tags)] + [(1, 9, "close", "a", "</a>")], "page_id long, seq int, kind string, tag string, head string")
+    doc = Document(nodes, tables={"nodes": nodes})
+    got = doc.of_kinds({0: "meta", 1: "link_rel", 2: "anchor", 3: "timer", 4: "dialog", 5: "script"})
+    assert sorted((r.page_id, r.i) for r in got.collect()) == [(1, k) for k in range(6)]
+    assert [r.seq for r in doc.dialog_elements.collect()] == [5] and [r.seq for r in doc.link_rel_elements.collect()] == [1]
